@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_bpe
 from .media import op9_media
+from .simhash import op7_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
+    "op7_simhash": op7_simhash,
     "op9_media": op9_media,
 }
 
