@@ -76,6 +76,21 @@ def word_counts(x):
     return np.bitwise_count(np.ascontiguousarray(x).view(np.uint16).reshape(-1, 4)).astype(np.int16)
 
 
+def union_labels(label, i, j) -> None:
+    """Unite, in place, the groups of rows ``i`` and ``j`` (arrays); a label is its group's least row."""
+    import numpy as np
+
+    while True:
+        x, y = label[i], label[j]
+        apart = x != y
+        if not apart.any():
+            return
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := label[label], label):
+            label[:] = up
+
+
 def linked_groups(a, b, radius: int):
     """Labels over the rows of ``a`` then ``b`` (``b`` None: ``a`` with itself): equal where links within ``radius`` connect."""
     import numpy as np
@@ -85,20 +100,6 @@ def linked_groups(a, b, radius: int):
     shift = 0 if b is None else len(a)
     right = a if b is None else b
 
-    def union(i, j) -> None:
-        while True:
-            x, y = label[i], label[j]
-            apart = x != y
-            if not apart.any():
-                return
-            i, j, x, y = i[apart], j[apart], x[apart], y[apart]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while True:
-                up = label[label]
-                if np.array_equal(up, label):
-                    break
-                label[:] = up
-
     # the rows of one tuple of word counts stand together on the right; only near tuples are compared
     def runs(x):
         counts = word_counts(x)
@@ -125,7 +126,7 @@ def linked_groups(a, b, radius: int):
                 hit = np.bitwise_count(a[mine][:, None] ^ right[other][None, :]) <= radius
                 if hit.any():
                     i, j = np.nonzero(hit)
-                    union(mine[i], other[j] + shift)
+                    union_labels(label, mine[i], other[j] + shift)
     return label
 
 
