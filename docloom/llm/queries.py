@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op5_bpe
 from .embeddings import op10_embeddings
 from .media import op9_media
+from .mixing import op4_mixing
+from .quality import op2_quality
 from .simhash import op7_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
+    "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
     "op7_simhash": op7_simhash,
     "op9_media": op9_media,
