@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_bpe
 from .embeddings import op10_embeddings
+from .html import op3_html
 from .media import op9_media
 from .mixing import op4_mixing
 from .quality import op2_quality
@@ -15,6 +16,7 @@ from .simhash import op7_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
+    "op3_html": op3_html,
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
     "op7_simhash": op7_simhash,
