@@ -13,8 +13,10 @@ from .media import op9_media
 from .mixing import op4_mixing
 from .quality import op2_quality
 from .simhash import op7_simhash
+from .urls import op1_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_urls": op1_urls,
     "op2_quality": op2_quality,
     "op3_html": op3_html,
     "op4_mixing": op4_mixing,
