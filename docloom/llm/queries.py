@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op5_bpe
 from .embeddings import op10_embeddings
 from .html import op3_html
+from .lines import op8_lines
 from .media import op9_media
 from .mixing import op4_mixing
 from .quality import op2_quality
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
     "op7_simhash": op7_simhash,
+    "op8_lines": op8_lines,
     "op9_media": op9_media,
     "op10_embeddings": op10_embeddings,
 }
