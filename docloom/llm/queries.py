@@ -15,6 +15,7 @@ from .mixing import op4_mixing
 from .quality import op2_quality
 from .simhash import op7_simhash
 from .urls import op1_urls
+from .warc import op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_urls": op1_urls,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html": op3_html,
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
+    "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
     "op8_lines": op8_lines,
     "op9_media": op9_media,
