@@ -78,13 +78,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return d.select("source", "source_size", F.when(F.col("full") | level.isNull(), F.col("cap")).otherwise(F.least(F.col("weight") * level, F.col("cap"))).alias("target"))
 
 
+def identity(key: Column, source: Column, text: Column) -> tuple[Column, Column]:
+    """Two hashes (k1, k2) that rows share only if they repeat key, source and text."""
+    return F.xxhash64(key, source, text).alias("k1"), F.xxhash64(text, source, key).alias("k2")
+
+
 class Mix:
     """The frames of a mix: ``sources``, ``docs`` (with their place in the source), ``pieces`` and ``slots``."""
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 11, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0):
         self.block_words, b = block_words, F.lit(block_words)
-        sized = checkpoint(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("hash")))
-        spot = sized.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "hash"), F.lit(BUCKETS)).cast("int"))
+        sized = checkpoint(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *identity(F.col(key), F.col(source), F.col(text))))
+        spot = sized.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "k1", "k2"), F.lit(BUCKETS)).cast("int"))
         parts = spot.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
         ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         parts = parts.withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
@@ -95,16 +100,16 @@ class Mix:
         order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
         plan = plan.withColumn("first", F.coalesce(F.sum("takes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         self.sources = checkpoint(plan.withColumn("no", F.row_number().over(order)))
-        within = Window.partitionBy("source", "bucket").orderBy("doc_id", "hash", "size").rowsBetween(Window.unboundedPreceding, -1)
+        within = Window.partitionBy("source", "bucket").orderBy("k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
         named = self.sources.select("source", "no", "source_size", "target")
         placed = spot.join(parts.select("source", "bucket", "ahead").withColumnsRenamed({"source": "s", "bucket": "k"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")))
-        placed = placed.select("doc_id", "source", "hash", "size", (F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("start"))
+        placed = placed.select("doc_id", "source", "k1", "k2", "size", (F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("start"))
         self.docs = checkpoint(placed.join(named.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("row", F.monotonically_increasing_id()))
         # a piece: the part of a document that is in one block, words [lo, hi) of the document
-        span = self.docs.where("size > 0").select("row", "doc_id", "no", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))).alias("block"))
+        span = self.docs.where("size > 0").select("row", "doc_id", "k1", "k2", "no", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))).alias("block"))
         lo = F.greatest(F.col("block") * b - F.col("start"), F.lit(0))
         hi = F.least((F.col("block") + 1) * b - F.col("start"), F.col("size"))
-        self.pieces = span.select("row", "doc_id", "no", "block", lo.alias("lo"), hi.alias("hi"))
+        self.pieces = span.select("row", "doc_id", "k1", "k2", "no", "block", lo.alias("lo"), hi.alias("hi"))
         self.slots = self._slots(docs.sparkSession, shard_slots, seed)
 
     def _slots(self, spark, shard_slots: int, seed: int) -> DataFrame:
@@ -134,6 +139,26 @@ class Mix:
         return self.docs.join(words, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix as documents with the columns of ``docs``: for each document and pass over its source, the blocks taken.
+
+    A document that a pass takes whole comes with its text; of one that is taken in
+    part come the words of the blocks taken, in order. White space before the first
+    and after the last word goes.
+    """
+    mix = Mix(docs, key, text, source, **options)
+    spans = mix.pieces.join(mix.slots.select("no", "block", "turn"), ["no", "block"]).groupBy("k1", "k2", "row", "turn").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    # rows that repeat are one row of texts and several of the mix; each text is joined once
+    k1, k2 = identity(F.col(key), F.col(source), F.col(text))
+    texts = docs.select(F.struct("*").alias("body"), k1, k2)
+    texts = texts.withColumn("n", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))).where("n = 1").drop("n")
+    taken = texts.join(spans.groupBy("k1", "k2").agg(F.collect_list("spans").alias("copies")), ["k1", "k2"])
+    words = F.regexp_extract_all(F.col("body").getField(text), F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    taken = taken.withColumn("words", words).select("body", F.explode(F.transform("copies", lambda spans: F.transform(spans, lambda s: F.array_join(F.slice("words", (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")), "")))).alias("parts"))
+    whole = F.btrim(F.array_join("parts", ""), F.lit(" \t\n\x0b\x0c\r"))
+    return taken.select(*((whole if c == text else F.col("body").getField(c)).alias(c) for c in docs.columns))
+
+
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     mix = Mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return mix.taken().select("doc_id", "size", "source_size", "target", "taken")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, slices
+from .common import checkpoint, free_name, slices
 from .components import connected_components
 
 #: Fingerprints in a tile at most (a tile pair of two such tiles takes a few MB in its task).
@@ -189,6 +189,135 @@ def near_duplicates(prints: DataFrame, radius: int = 3, key: str = "key") -> Dat
     return prints.join(found, "fp")
 
 
+#: Longs in a sketch, bits that the first of them may differ in, and the similarity that links.
+SKETCH, FIRST_RADIUS, SIMILARITY = 8, 20, 0.8
+
+
+def sketch_words(text: str, shingle: int = 5, longs: int = SKETCH) -> tuple[int, bytes]:
+    """(distinct word shingles, SimHash of 64 x ``longs`` bits over them): for similarity of sets."""
+    import numpy as np
+    import xxhash
+
+    words = text.encode("utf-8", "replace").lower().split()
+    if not words:
+        return 0, bytes(8 * longs)
+    n = max(1, len(words) - shingle + 1)
+    every = {b" ".join(words)} if n == 1 else {b" ".join(x) for x in zip(*(words[i:] for i in range(shingle)))}  # noqa: B905
+    h = np.array([xxhash.xxh64_intdigest(x, 42) for x in every], np.uint64)
+    out = np.zeros(longs, "<u8")
+    for k in range(longs):  # further hashes are mixed from the first
+        z = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (2**64 - 1))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        ones = sum((np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for part in np.array_split(z, 1 + len(z) // 65536)), np.zeros(64, np.int64))
+        out[k : k + 1] = np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
+    return len(h), out.tobytes()
+
+
+def with_sketch(df: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
+    """``df`` with columns ``size`` (distinct shingles) and ``sketch`` (binary), under free names if these are taken. No shuffle."""
+    import pyarrow as pa
+
+    size, sketch = free_name(df, "size"), free_name(df, "sketch")
+    names = [*df.columns, size, sketch]
+
+    def run(batches):
+        for batch in slices(batches, text):
+            got = [sketch_words(x or "", shingle) for x in batch.column(names.index(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], names=names)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(size, T.LongType()), T.StructField(sketch, T.BinaryType())]))
+
+
+def sketch_radius(similarity: float = SIMILARITY, longs: int = SKETCH) -> int:
+    """Bits that two sketches differ in at the similarity (equal sizes), and one standard deviation more."""
+    import math
+
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(64 * longs * p + math.sqrt(64 * longs * p * (1 - p)))
+
+
+def similar_groups(a, sa, b, sb, radius: int, similarity: float):
+    """As ``linked_groups``, over rows of sketches with sizes: links need sizes and sketches within bounds."""
+    import numpy as np
+
+    label = np.arange(len(a) + (0 if b is None else len(b)))
+    shift, b, sb = (0, a, sa) if b is None else (len(a), b, sb)
+    same = shift == 0
+    for r in range(0, len(a), BLOCK):
+        for c in range(r if same else 0, len(b), BLOCK):
+            x, y, m, n = a[r : r + BLOCK], b[c : c + BLOCK], sa[r : r + BLOCK], sb[c : c + BLOCK]
+            i, j = np.nonzero(np.bitwise_count(x[:, 0][:, None] ^ y[:, 0][None, :]) <= FIRST_RADIUS)
+            apart = label[i + r] != label[j + c + shift]  # links within a group are no news
+            i, j = i[apart], j[apart]
+            sized = np.minimum(m[i], n[j]) >= similarity * np.maximum(m[i], n[j])
+            i, j = i[sized], j[sized]
+            for k in range(0, len(i), 1 << 17):
+                p, q = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
+                near = np.bitwise_count(x[p] ^ y[q]).sum(1, dtype=np.int64) <= radius
+                union_labels(label, p[near] + r, q[near] + c + shift)
+    return label
+
+
+def _compare_sketches(radius: int, similarity: float):
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        rows = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u8").reshape(table.num_rows, -1)
+        size, rep, side = (table.column(c).to_numpy() for c in ("size", "rep", "side"))
+        left, right = side == 0, side == 1
+        two = right.any()
+        label = similar_groups(rows[left], size[left], rows[right] if two else None, size[right] if two else None, radius, similarity)
+        reps = np.concatenate([rep[left], rep[right]])
+        low = np.full(len(label), np.iinfo(np.int64).max)
+        np.minimum.at(low, label, reps)
+        far = (low := low[label]) != reps
+        return pa.table({"src": pa.array(low[far]), "dst": pa.array(reps[far])})
+
+    return run
+
+
+def similar_documents(sketches: DataFrame, key: str = "doc_id", similarity: float = SIMILARITY, tile_rows: int = 8_192) -> DataFrame:
+    """Rows (size, sketch, component) for the distinct sketches of ``sketches`` (key, size, sketch; materialised).
+
+    The same tiled comparison for near copies: a tile holds sketches of like size
+    (sizes within the similarity are in the same or neighbouring tiles of sizes), and
+    the driver gets the row count of each of at most some hundred sizes of tiles.
+    """
+    import math
+
+    spark = sketches.sparkSession
+    radius = sketch_radius(similarity)
+    distinct = checkpoint(sketches.groupBy("size", "sketch").agg(F.min(key).cast("long").alias("rep")))
+    band = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / math.log(1 / similarity)).cast("int")
+    cells = distinct.where("rep is not null").withColumn("cell", band)
+    split = {r["cell"]: -(-r["n"] // tile_rows) for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    pairs, number = [], 0
+    for c in sorted(split):
+        for d in (c, c + 1):
+            for i in range(split[c]):
+                for j in range(i if c == d else 0, split.get(d, 0)):
+                    pairs += [(c, i, number, 0)] + [(d, j, number, 1)] * ((c, i) != (d, j))
+                    number += 1
+    listed = spark.createDataFrame(pairs, "cell int, tile int, pair long, side int")
+    sizes = spark.createDataFrame(list(split.items()), "cell int, tiles int")
+    tiles = cells.join(F.broadcast(sizes), "cell").withColumn("tile", F.pmod(F.xxhash64("sketch"), F.col("tiles")).cast("int"))
+    sent = tiles.join(listed, ["cell", "tile"]).select("pair", "side", "size", "sketch", "rep")
+    groups = connected_components(sent.groupBy("pair").applyInArrow(_compare_sketches(radius, similarity), "src long, dst long"))
+    return distinct.join(groups, distinct["rep"] == groups["id"], "left").select("size", "sketch", F.coalesce("component", "rep").alias("component"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the least key (null if a group has no other)."""
+    marked = with_sketch(docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).alias("text")))
+    found = similar_documents(checkpoint(marked.select("key", "size", "sketch")), "key")
+    first = marked.drop("text").join(found, ["size", "sketch"]).where(F.col("key").eqNullSafe(F.col("component")))
+    # what is left of a group are rows of its least key; repeated ones count once
+    return first.dropDuplicates(["size", "sketch", "key"]).select("row.*")
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     prints = checkpoint(fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     out = near_duplicates(prints)
