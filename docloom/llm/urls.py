@@ -44,7 +44,8 @@ def given_rule(host: Column, path: Column, rules=GIVEN_RULES) -> Column:
         of, slash, rest = rule.partition("/")
         fits = ((host == of) | F.endswith(host, F.lit("." + of))) & F.startswith(path, F.lit(slash + rest))
         found.append(F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
-    return F.coalesce(*found)
+    none = F.lit(None).cast("struct<rule:string,verdict:string>")
+    return F.coalesce(*found, none)
 
 
 def tokens(host: Column, path: Column) -> Column:
