@@ -36,9 +36,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     give no rows. A vertex that no edge names is not in the result.
     """
     src, dst = edges.columns
-    named = edges.select(F.least(src, dst).alias("src"), F.greatest(src, dst).alias("dst")).where(F.col(src).isNotNull() & F.col(dst).isNotNull())
+    named = checkpoint(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.least(src, dst).alias("src"), F.greatest(src, dst).alias("dst")).distinct())
     loops = named.where("src = dst").select(F.col("src").alias("id"))
-    now = checkpoint(named.where("src < dst").distinct())
+    now = named.where("src < dst")
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
