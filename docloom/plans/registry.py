@@ -7,10 +7,305 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import audit, candidates, drafts, publish, reports
+from . import views
+from .views import table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def slug_sql(x: str) -> str:
+    cut = f"substr(regexp_replace(regexp_replace(regexp_replace(lower({x}), '^\\s+|\\s+$', '', 'g'), '[''\"]', '', 'g'), '[^a-z0-9]+', '-', 'g'), 1, 80)"
+    return f"regexp_replace({cut}, '^-+|-+$', '', 'g')"
+
+
+def human_sql(x: str) -> str:
+    s = f"trim(regexp_replace(regexp_replace(regexp_replace({x}, '([A-Z])', ' \\1', 'g'), '[._]', ' ', 'g'), ' +', ' ', 'g'))"
+    return f"upper(substr({s}, 1, 1)) || substr({s}, 2)"
+
+
+def bare_sql(x: str) -> str:
+    return f"regexp_replace({x}, '(?s)\\A---\\r?\\n.*?\\r?\\n---\\r?\\n', '')"
+
+
+def body_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace({bare_sql(x)}, '(?s)<!--\\s*managed:start[^>]*-->.*?<!--\\s*managed:end\\s*-->', '', 'g'), '\\A\\s+|\\s+\\z', '', 'g')"
+
+
+def flow_sql(x: str) -> str:
+    rest = f"substr({x}, instr(chr(10) || {x}, chr(10) || '## Main flow' || chr(10)) + 13)"
+    flow = f"CASE WHEN instr({rest}, chr(10) || '## ') > 0 THEN split_part({rest}, chr(10) || '## ', 1) ELSE {rest} END"
+    return f"CASE WHEN instr(chr(10) || {x}, chr(10) || '## Main flow' || chr(10)) > 0 THEN len(list_filter(regexp_split_to_array({flow}, '\\s+'), lambda w: w <> '')) ELSE 0 END::BIGINT"
+
+
+ROUND = "floor(({}) * 100 + 0.5) / 100"
+
+
+@query(f"SELECT doc_id, {slug_sql('text')} AS slug FROM documents")
+def slugify_docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
+
+
+_STEM = "regexp_replace(lower(regexp_replace(regexp_replace(relative_path, '\\.[^.]+$', ''), '[^a-zA-Z0-9]+', '-', 'g')), '^-+|-+$', '', 'g')"
+_LANG = "CASE lower(regexp_extract(relative_path, '\\.([^./]+)$', 1)) WHEN 'java' THEN 'java' WHEN 'cfc' THEN 'cfml' WHEN 'cfm' THEN 'cfml' WHEN 'rb' THEN 'ruby' WHEN 'py' THEN 'python' END"
+
+
+@query(f"WITH {views.CANDIDATES} SELECT doc_id, regexp_replace(concat_ws('-', lang, {_STEM}, {slug_sql('name')}, 'v1'), '-{{2,}}', '-', 'g') AS id FROM (SELECT *, {_LANG} AS lang FROM candidates)")
+def stable_ids(spark, sf_dir):
+    c = views.candidates(spark, sf_dir)
+    return c.select("doc_id", T.stable_id(candidates.language_of(F.col("relative_path")), F.col("relative_path"), F.col("name")).alias("id"))
+
+
+@query(f"SELECT c_custkey, {human_sql('c_name')} AS human FROM customer")
+def humanize_name(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", T.humanize(F.col("c_name")).alias("human"))
+
+
+@query(f"WITH {views.CANDIDATES} SELECT doc_id, coalesce(nullif({slug_sql('title')}, ''), nullif({slug_sql(human_sql('name'))}, ''), 'id-' || doc_id) AS slug FROM (SELECT *, CASE WHEN doc_id % 4 = 0 THEN '!!' ELSE name END AS title FROM candidates)")
+def slug_fallback(spark, sf_dir):
+    i, c = F.col("doc_id"), views.candidates(spark, sf_dir)
+    return c.select("doc_id", T.page_slug(F.when(i % 4 == 0, "!!").otherwise(F.col("name")), F.col("name"), F.concat(F.lit("id-"), i)).alias("slug"))
+
+
+@query(
+    f"WITH {views.CANDIDATES} SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(n, '(Controller|ViewSet|APIView|View)$', ''), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS resource FROM (SELECT doc_id, split_part(split_part(name, '.', 1), '#', 1) AS n FROM candidates)"
+)
+def snake_resource(spark, sf_dir):
+    c = views.candidates(spark, sf_dir)
+    return c.select("doc_id", T.snake_resource(F.substring_index(F.substring_index("name", ".", 1), "#", 1)).alias("resource"))
+
+
+@query(f"WITH {views.CANDIDATES} SELECT doc_id, relative_path, regexp_matches(lower(relative_path), '{candidates.INCLUDED}') AND NOT regexp_matches(relative_path, '{candidates.EXCLUDED}') AS scanned, {_LANG} AS language FROM candidates")
+def glob_prune(spark, sf_dir):
+    p = F.col("relative_path")
+    return views.candidates(spark, sf_dir).select("doc_id", p, candidates.scanned(p).alias("scanned"), candidates.language_of(p).alias("language"))
+
+
+@query(f"WITH {views.CANDIDATES} SELECT doc_id, name FROM candidates WHERE contains(relative_path, 'app/contr') AND (name = 'loadAll' OR ends_with(name, '.loadAll'))")
+def only_and_name(spark, sf_dir):
+    c = views.candidates(spark, sf_dir)
+    return c.where(F.contains("relative_path", F.lit("app/contr")) & candidates.named(F.col("name"), "loadAll")).select("doc_id", "name")
+
+
+@query(f"WITH {views.CANDIDATES}, changed AS (SELECT DISTINCT relative_path AS path FROM candidates WHERE doc_id % 13 = 2) SELECT doc_id, relative_path FROM candidates WHERE relative_path IN (SELECT path FROM changed)")
+def since_semi(spark, sf_dir):
+    c = views.candidates(spark, sf_dir)
+    return candidates.changed_only(c, c.where("doc_id % 13 = 2").select(F.col("relative_path").alias("path"))).select("doc_id", "relative_path")
+
+
+@query("WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM documents) SELECT doc_id FROM d WHERE n <= 37 OR p IN (SELECT floor(i * ((SELECT count(*) FROM documents)::DOUBLE / 37))::BIGINT FROM range(37) t(i))")
+def sample_even(spark, sf_dir):
+    return candidates.sample_even(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 37)
+
+
+@query(f"WITH {views.AUDIT} SELECT seq, CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END >= 2 AS kept FROM audit")
+def min_confidence(spark, sf_dir):
+    rank = F.when(F.col("confidence") == "high", 3).when(F.col("confidence") == "medium", 2).otherwise(1)
+    return views.audit(spark, sf_dir).select("seq", (rank >= 2).alias("kept"))
+
+
+@query(f"WITH {views.AUDIT} SELECT seq, prompt_version, prompt_version IS NULL OR CASE WHEN regexp_matches(prompt_version, '^v[0-9]+$') THEN substr(prompt_version, 2)::INT <= 9 ELSE prompt_version <= 'v9' END AS kept FROM audit")
+def version_at_most(spark, sf_dir):
+    v = F.col("prompt_version")
+    return views.audit(spark, sf_dir).select("seq", v, (v.isNull() | T.version_at_most(v, F.lit("v9"))).alias("kept"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
+def escape_markup(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.escape_markup(F.col("html")).alias("escaped"))
+
+
+@query(f"WITH {views.PAGES} SELECT doc_id, {bare_sql('page')} AS bare FROM pages_md")
+def frontmatter_strip(spark, sf_dir):
+    return views.pages(spark, sf_dir).select("doc_id", T.without_frontmatter(F.col("page")).alias("bare"))
+
+
+@query(
+    f"WITH {views.PAGES}, f AS (SELECT doc_id, page, instr(page, '{T.FENCE_OPEN}') AS a, instr(page, '{T.FENCE_CLOSE}') AS c FROM pages_md) SELECT doc_id, CASE WHEN a > 0 THEN regexp_replace(split_part(split_part(substr(page, a), '-->', 2), '<!--', 1), '^\\s+|\\s+$', '', 'g') END AS region, CASE WHEN a > 0 THEN substr(page, 1, a - 1) ELSE page END AS before, CASE WHEN a > 0 THEN substr(page, c + {len(T.FENCE_CLOSE)}) ELSE '' END AS after FROM f"
+)
+def managed_region(spark, sf_dir):
+    p = F.col("page")
+    return views.pages(spark, sf_dir).select("doc_id", T.managed_region(p).alias("region"), T.before_fence(p).alias("before"), T.after_fence(p).alias("after"))
+
+
+@query("SELECT event_id, floor((event_id % 10) / 10.0::DOUBLE * least(500 * pow(2, event_id % 9), 60000))::BIGINT AS delay_ms FROM events")
+def retry_delay(spark, sf_dir):
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", F.floor((i % 10).cast("double") / 10 * F.least(500 * F.pow(F.lit(2), i % 9), F.lit(60000.0))).cast("long").alias("delay_ms"))
+
+
+@query("SELECT count(*) AS pages, coalesce(sum(length(text) // 4), 0)::BIGINT AS system, count(*)::BIGINT * 700 AS \"user\", " + ROUND.format("sum(length(text) // 4)::BIGINT * 3e-6 * 0.5") + " AS cached_usd, " + ROUND.format("count(*) * 700 * 3e-6") + " AS uncached_usd, " + ROUND.format("count(*) * 3000 * 15e-6") + " AS output_usd FROM documents")
+def cost_estimate(spark, sf_dir):
+    tokens = table(spark, sf_dir, "documents").select(F.expr("char_length(coalesce(text, '')) div 4").alias("system_tokens"), F.lit(700).cast("long").alias("user_tokens"))
+    usd = {c: T.round_half_up(F.col(c)) for c in ("cached_usd", "uncached_usd", "output_usd")}
+    return reports.cost(tokens).withColumns(usd).drop("total_usd")
+
+
+_SNAP = f"snaps AS (SELECT doc_id, sha256(body) AS body_hash, array_to_string(list_transform(regexp_extract_all(body, '(?m)^##[ \\t]+(.+?)[ \\t]*$', 1), lambda x: x), '|') AS headings, CASE WHEN body = '' THEN 0 ELSE len(string_split(body, chr(10))) END::BIGINT AS n_lines, {flow_sql('bare')} AS words FROM (SELECT doc_id, {body_sql('page')} AS body, {bare_sql('page')} AS bare FROM pages_md))"
+
+
+@query(f"WITH {views.PAGES}, {_SNAP} SELECT * FROM snaps")
+def md_snapshot(spark, sf_dir):
+    return reports.page_snapshots(views.pages(spark, sf_dir))
+
+
+def _rated(spark, sf_dir):
+    meta = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("repo"))
+    i = F.col("doc_id")
+    return md_snapshot(spark, sf_dir).join(meta, "doc_id").select("repo", F.when(i % 3 == 0, "high").when(i % 3 == 1, "medium").otherwise("HIGH").alias("confidence"), "words", "n_lines", "doc_id")
+
+
+_RATED = f"{views.PAGES}, {_SNAP}, rated AS (SELECT coalesce(source, 'none') AS repo, CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'HIGH' END AS confidence, words, n_lines, doc_id FROM snaps JOIN documents USING (doc_id))"
+_REPOS = "SELECT repo, count(*) AS pages, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium, count(*) FILTER (confidence = 'low') AS low, " + ROUND.format("sum(words)::DOUBLE / count(*)") + " AS avg_words, " + ROUND.format("sum(n_lines)::DOUBLE / count(*)") + " AS avg_lines, CASE WHEN count(*) FILTER (confidence IN ('high', 'medium', 'low')) = 0 THEN 0.0 ELSE " + ROUND.format("count(*) FILTER (confidence = 'high')::DOUBLE / count(*) FILTER (confidence IN ('high', 'medium', 'low')) * 100") + " END::DOUBLE AS high_pct FROM rated {} GROUP BY repo"
+
+
+@query(f"WITH {_RATED} {_REPOS.format('')}")
+def snapshot_aggregate(spark, sf_dir):
+    return reports.repo_snapshots(_rated(spark, sf_dir))
+
+
+@query(f"WITH {_RATED}, p AS ({_REPOS.format('WHERE doc_id % 7 <> 0')}), c AS ({_REPOS.format('WHERE doc_id % 5 <> 0')}) SELECT coalesce(p.repo, c.repo) AS repo, CASE WHEN c.repo IS NULL THEN 'prior' WHEN p.repo IS NULL THEN 'current' END AS only_in, {ROUND.format('c.high_pct - p.high_pct')} AS delta_pp, coalesce(-({ROUND.format('c.high_pct - p.high_pct')}) >= 1.0, false) AS regressed FROM p FULL JOIN c ON p.repo = c.repo")
+def snapshot_diff(spark, sf_dir):
+    rated = _rated(spark, sf_dir)
+    return reports.diff(reports.repo_snapshots(rated.where("doc_id % 7 <> 0")), reports.repo_snapshots(rated.where("doc_id % 5 <> 0")), 1.0)
+
+
+_GOOD = "operation = 'generate' AND coalesce(content_hash, '') <> '' AND outcome <> 'error'"
+
+
+@query(f'WITH {views.AUDIT} SELECT page, seq, "commit", outcome, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY seq DESC) AS r FROM audit WHERE {_GOOD} AND seq >= (SELECT min(seq) FROM audit WHERE "commit" = \'c1\')) WHERE r = 1')
+def audit_latest_by_page(spark, sf_dir):
+    return audit.latest_by_page(audit.since_commit(views.audit(spark, sf_dir), "c1"))
+
+
+@query(f"WITH {views.AUDIT} SELECT seq, page, operation, outcome FROM audit ORDER BY seq DESC LIMIT 20")
+def audit_tail(spark, sf_dir):
+    return audit.tail(views.audit(spark, sf_dir), 20).select("seq", "page", "operation", "outcome")
+
+
+@query(f"WITH {views.AUDIT} SELECT operation, outcome, count(*) AS n FROM audit GROUP BY ALL")
+def audit_totals(spark, sf_dir):
+    return views.audit(spark, sf_dir).groupBy("operation", "outcome").agg(F.count("*").alias("n"))
+
+
+_JSON = "'{\"commit\":\"' || \"commit\" || '\",\"content_hash\":' || coalesce('\"' || content_hash || '\"', 'null') || ',\"operation\":\"' || operation || '\",\"outcome\":\"' || outcome || '\",\"page\":\"' || page || '\",\"prev_hash\":' || coalesce('\"' || %s || '\"', 'null') || '}'"
+_CHAIN = f"{views.AUDIT}, numbered AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY seq) AS n FROM audit), chain AS (SELECT *, NULL::VARCHAR AS prev_hash, 'sha256:' || sha256({_JSON % 'NULL::VARCHAR'}) AS entry_hash FROM numbered WHERE n = 1 UNION ALL SELECT b.*, a.entry_hash, 'sha256:' || sha256({(_JSON % 'a.entry_hash').replace(chr(34) + 'commit' + chr(34) + ' ||', 'b.' + chr(34) + 'commit' + chr(34) + ' ||').replace('content_hash || ', 'b.content_hash || ').replace('|| operation', '|| b.operation').replace('|| outcome', '|| b.outcome').replace('|| page', '|| b.page')}) FROM chain a JOIN numbered b ON a.page = b.page AND b.n = a.n + 1)"
+
+
+@query(f"WITH RECURSIVE {_CHAIN} SELECT seq, page, prev_hash, entry_hash FROM chain")
+def chain_append(spark, sf_dir):
+    return audit.chain(views.audit(spark, sf_dir)).select("seq", "page", "prev_hash", "entry_hash")
+
+
+@query(f"WITH RECURSIVE {_CHAIN}, kept AS (SELECT seq, page, CASE WHEN seq % 97 = 5 THEN 'forged' ELSE outcome END AS now, outcome, entry_hash, prev_hash FROM chain WHERE seq % 89 <> 7) SELECT seq, page, CASE WHEN now <> outcome THEN 'tampered' WHEN prev_hash IS DISTINCT FROM lag(entry_hash) OVER (PARTITION BY page ORDER BY seq) THEN 'chain break' END AS reason FROM kept")
+def chain_verify(spark, sf_dir):
+    log = audit.chain(views.audit(spark, sf_dir)).where("seq % 89 <> 7").withColumn("outcome", F.when(F.col("seq") % 97 == 5, "forged").otherwise(F.col("outcome")))
+    return audit.verify(log).select("seq", "page", "reason")
+
+
+def _rule(seq: int, field: str, level: str, where: str, message: str) -> str:
+    return f"SELECT conv_id, turn, {seq}::BIGINT AS seq, '{field}' AS field, '{level}' AS severity, {message} AS message FROM drafts WHERE {where}"
+
+
+_BLANK = "NOT regexp_matches(coalesce({}, ''), '\\S')"
+_JARGON = "list_filter(string_split(tags, ','), lambda t: lower(t) IN ('api', 'sql', 'json', 'http', 'rest'))"
+_ISSUES = f"{views.DRAFTS}, issues AS (" + " UNION ALL ".join([
+    _rule(0, "title", "error", _BLANK.format("title"), "'no title'"), _rule(1, "summary", "error", _BLANK.format("summary"), "'no summary'"), _rule(2, "actor", "error", _BLANK.format("actor"), "'no actor'"), _rule(3, "trigger", "warn", _BLANK.format("trigger_"), "'no trigger'"),
+    _rule(4, "main_flow", "error", "len(steps) < 2", "'steps: ' || len(steps)"), _rule(5, "main_flow", "error", f"len(list_filter(steps, lambda s: {_BLANK.format('s')})) > 0", "'a step is empty'"), _rule(6, "main_flow", "warn", "len(steps) > 12", "'too many steps: ' || len(steps)"),
+    _rule(7, "postconditions", "warn", _BLANK.format("postcondition"), "'no postcondition'"), _rule(8, "tags", "warn", f"len({_JARGON}) > 0", f"'jargon: ' || array_to_string({_JARGON}, ', ')"),
+    _rule(9, "structure", "error", "contains(concat_ws(' ', title, summary, actor, trigger_, array_to_string(steps, ' '), postcondition, tags), chr(8212))", "'an em dash'"), _rule(10, "confidence", "error", "confidence NOT IN ('', 'high', 'medium', 'low')", "'confidence: ' || confidence"),
+]) + ")"
+
+
+@query(f"WITH {_ISSUES} SELECT * FROM issues")
+def draft_issues(spark, sf_dir):
+    return drafts.issues(views.drafts(spark, sf_dir))
+
+
+@query(f"WITH {_ISSUES} SELECT field, severity, count(*) AS n FROM issues GROUP BY ALL")
+def issue_counts(spark, sf_dir):
+    return drafts.issues(views.drafts(spark, sf_dir)).groupBy("field", "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_ISSUES}, m AS (SELECT *, bool_or(severity = 'error') OVER (PARTITION BY conv_id, turn) AS any_error FROM issues) SELECT conv_id, turn, string_agg('- ' || field || ': ' || message, chr(10) ORDER BY seq) AS hint FROM m WHERE severity = 'error' OR NOT any_error GROUP BY conv_id, turn")
+def retry_hint(spark, sf_dir):
+    return drafts.retry_hints(drafts.issues(views.drafts(spark, sf_dir)))
+
+
+@query(f"WITH {_ISSUES}, e AS (SELECT d.conv_id, d.turn, (SELECT count(*) FROM issues i WHERE i.conv_id = d.conv_id AND i.turn = d.turn AND severity = 'error') AS errors, row_number() OVER (PARTITION BY d.conv_id ORDER BY d.turn) AS r FROM drafts d) SELECT a.conv_id, a.errors AS first_errors, b.errors AS second_errors, CASE WHEN b.errors < a.errors THEN 'recovered' ELSE 'no_help' END AS outcome, CASE WHEN b.errors < a.errors THEN b.turn ELSE a.turn END AS kept_turn FROM e a JOIN e b ON a.conv_id = b.conv_id AND a.r = 1 AND b.r = 2 WHERE a.errors > 0")
+def retry_decision(spark, sf_dir):
+    return drafts.retry_decisions(views.drafts(spark, sf_dir))
+
+
+_FLIGHT = f"{views.WIKI}, titled AS (SELECT doc_id, 'T' || doc_id AS title FROM documents WHERE doc_id IS NOT NULL), own AS (SELECT key, arg_min(title, page_id) AS title, min(page_id) AS page_id FROM wiki WHERE key IS NOT NULL GROUP BY key), free AS (SELECT lower(title) AS t, min(page_id) AS page_id FROM wiki WHERE key IS NULL GROUP BY 1), flight AS (SELECT d.doc_id, CASE WHEN o.key IS NOT NULL THEN CASE WHEN lower(o.title) = lower(d.title) THEN 'managed' ELSE 'renamed' END WHEN f.t IS NOT NULL THEN 'collision' ELSE 'clean' END AS outcome, coalesce(o.page_id, f.page_id) AS existing FROM titled d LEFT JOIN own o ON o.key = d.doc_id LEFT JOIN free f ON f.t = lower(d.title))"
+
+
+def _titled(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.concat(F.lit("T"), "doc_id").alias("title"))
+
+
+@query(f"WITH {_FLIGHT} SELECT * FROM flight")
+def preflight_classify(spark, sf_dir):
+    return publish.preflight(_titled(spark, sf_dir), views.wiki(spark, sf_dir))
+
+
+@query(f"WITH {_FLIGHT} SELECT count(*) FILTER (outcome = 'clean') AS clean, count(*) FILTER (outcome = 'managed') AS managed, count(*) FILTER (outcome = 'collision') AS collision, count(*) FILTER (outcome = 'renamed') AS renamed FROM flight")
+def preflight_summary(spark, sf_dir):
+    return publish.summary(preflight_classify(spark, sf_dir))
+
+
+@query(f"WITH {views.WIKI}, t AS (SELECT doc_id, 'T' || doc_id AS title FROM documents WHERE doc_id % 2 = 0) SELECT coalesce(t.doc_id, w.key) AS key, w.page_id, coalesce(t.title, w.title) AS title, CASE WHEN t.doc_id IS NULL THEN 'kept' WHEN w.page_id IS NULL THEN 'created' ELSE 'updated' END AS action FROM t FULL JOIN (SELECT * FROM wiki WHERE key IS NOT NULL) w ON w.key = t.doc_id UNION ALL SELECT key, page_id, title, 'kept' FROM wiki WHERE key IS NULL")
+def upsert_state(spark, sf_dir):
+    return publish.upsert(_titled(spark, sf_dir).where("doc_id % 2 = 0"), views.wiki(spark, sf_dir))
+
+
+@query(f"WITH {views.PAGES}, n AS (SELECT doc_id, 'New ' || doc_id || chr(10) AS fresh, CASE WHEN instr(page, '{T.FENCE_CLOSE}') > 0 THEN substr(page, instr(page, '{T.FENCE_CLOSE}') + {len(T.FENCE_CLOSE)}) ELSE '' END AS note FROM pages_md) SELECT doc_id, CASE WHEN regexp_matches(note, '\\S') THEN regexp_replace(fresh, '\\s+\\z', '') || chr(10) || chr(10) || regexp_replace(note, '\\A\\s+|\\s+\\z', '', 'g') || chr(10) ELSE fresh END AS page FROM n")
+def merge_preserved(spark, sf_dir):
+    return views.pages(spark, sf_dir).select("doc_id", publish.merged(F.concat(F.lit("New "), "doc_id", F.lit("\n")), F.col("page")).alias("page"))
+
+
+@query("SELECT p_partkey, array_to_string(list_concat(['key-' || p_partkey], list_transform(list_filter(string_split(p_type, ' '), lambda t: regexp_matches(t, '^[A-Za-z0-9-]+$')), lambda t: 'tag-' || lower(t))), ',') AS labels FROM part")
+def label_list(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(publish.labels(F.col("p_partkey").cast("string"), F.split("p_type", " ")), ",").alias("labels"))
+
+
+_KEBAB = "regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(name, '^.*\\.', ''), '([a-z0-9])([A-Z])', '\\1-\\2', 'g')), '[^a-z0-9-]+', '-', 'g'), '-{2,}', '-', 'g'), '^-|-$', '', 'g')"
+_ENTRY = "entries AS (SELECT doc_id AS seq, CASE WHEN doc_id % 2 = 0 THEN 'load-all-items' ELSE 'sync-items-' || (doc_id % 50) END AS page, relative_path AS source FROM candidates WHERE doc_id % 3 <> 2)"
+
+
+@query(f"WITH {views.CANDIDATES}, {_ENTRY}, k AS (SELECT *, {_KEBAB} AS kebab FROM candidates) SELECT seq, name FROM (SELECT e.seq, k.name, row_number() OVER (PARTITION BY e.seq ORDER BY k.line_start, k.name) AS r FROM entries e JOIN k ON e.source = k.relative_path WHERE kebab <> '' AND (contains(e.page, kebab) OR contains(kebab, split_part(e.page, '-', 1)))) WHERE r = 1")
+def replay_match(spark, sf_dir):
+    c, i = views.candidates(spark, sf_dir), F.col("doc_id")
+    entries = c.where("doc_id % 3 <> 2").select(i.alias("seq"), F.when(i % 2 == 0, "load-all-items").otherwise(F.concat(F.lit("sync-items-"), i % 50)).alias("page"), F.col("relative_path").alias("source"))
+    return candidates.match_pages(entries, c.select("relative_path", "line_start", "name"))
+
+
+@query(f"WITH {views.CANDIDATES} SELECT CASE WHEN contains(relative_path, '/') THEN split_part(relative_path, '/', 1) ELSE '(root)' END AS folder, count(*) AS pages FROM candidates GROUP BY 1")
+def preview_index(spark, sf_dir):
+    folder = F.when(F.contains("relative_path", F.lit("/")), F.split("relative_path", r"[/\\]")[0]).otherwise("(root)")
+    return views.candidates(spark, sf_dir).groupBy(folder.alias("folder")).agg(F.count("*").alias("pages"))
+
+
+@query(f"WITH {views.PAGES} SELECT count(*) FILTER (regexp_matches(page, '\\A---\\ntitle: [^\\n]+\\nslug: [^\\n]+\\n')) AS ok, count(*) AS total FROM pages_md")
+def frontmatter_validate(spark, sf_dir):
+    ok = F.rlike("page", F.lit(r"\A---\ntitle: [^\n]+\nslug: [^\n]+\n"))
+    return views.pages(spark, sf_dir).agg(F.count_if(ok).alias("ok"), F.count("*").alias("total"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("n_documents"))
+    """The latest entry of each page of the audit log."""
+    return audit_latest_by_page(spark, sf_dir)
