@@ -59,13 +59,14 @@ social sponsor sponsored subscribe subscription tags toolbar topbar widget widge
 )
 PARAGRAPHS = frozenset("h1 h2 h3 h4 h5 h6 p title".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = ("script", "style", "noscript", "template", "svg", "math", "object", "canvas")
+RAW_TAGS = ("script", "style", "noscript", "template")
+# an svg's labels are no article text; its end may be missing, and then only its opening tag goes. Math, object and canvas hold readable text.
 
 #: Characters below which a block says nothing by itself, and from which stop words make it good.
 SHORT, LONG = 70, 200
 STOPS_LOW, STOPS_HIGH, LINKS_HIGH = 0.10, 0.20, 0.33
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW_TAGS) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:/>|>.*?(?:</\1\s*[^>]*>|\Z))|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW_TAGS) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*[^>]*>|\Z)|<(svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:(?<!/>)(?:(?!<svg\b).)*?</svg\s*>)?|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -95,7 +96,7 @@ def _bad_place(tag: str, attributes: str, in_article: bool) -> bool:
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, without empty ones."""
-    page = _DROP.sub(lambda m: " " if m[0].startswith("<!--") is False and m[1] is None else "", page)
+    page = _DROP.sub(lambda m: " " if m[0].startswith("<!--") is False and m[1] is None and m[2] is None else "", page)
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, int]] = []  # tag, in a bad place, in the article, number
     parts: list[str] = []

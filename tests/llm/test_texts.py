@@ -146,6 +146,15 @@ def test_html_rules(spark):
     assert next(len(r.text) for r in got if r.page_id == 7) == 11 * 30000 - 1
 
 
+def test_html_self_closed_and_unclosed_tags():
+    assert html.main_text("<p>a <svg class=i/> b</p><p>c</p>") == "a b\nc"
+    assert html.main_text('<p>a <svg viewBox="0 0"><path d="M0"/><text>label</text></svg> b</p><p>c</p>') == "a b\nc"
+    assert html.main_text("<p>a <svg><path> b</p><p>c</p>") == "a b\nc"
+    assert html.main_text("<p>a <svg><path> b</p><p>c <svg><text>label</text></svg> d</p>") == "a b\nc d"
+    assert html.main_text("<p>x <math><mi>y</mi></math> <object data=z/> <canvas>drawn</canvas> w</p><p>c <object>read on</p>") == "x y drawn w\nc read on"
+    assert html.main_text("<p>a</p><script src=x/>no</script><p>b</p><style>no") == "a\nb"
+
+
 def test_html_pages(spark, tiny):
     import html as h
     import re
