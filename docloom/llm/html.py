@@ -71,6 +71,8 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _NAME = re.compile(r"[a-z]+")
+# a class or id that says what an element has or lacks, not what it is
+_MODIFIER = re.compile(r"(?:no|not|non|has|have|with|without)[-_]")
 
 
 @dataclass
@@ -81,24 +83,45 @@ class Block:
     article: bool
     links: int  # characters in links
     holder: int = 0  # the element around the paragraph
+    by: tuple[int, ...] = ()  # the elements around it that are bad by class or id
     label: str = ""
 
 
-def _bad_place(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in BAD_TAGS or tag == "header" and not in_article:
-        return True
+def _bad_place(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is bad by tag or role, and by class or id."""
+    place, name = tag in BAD_TAGS or tag == "header" and not in_article, False
     for kind, *values in _ATTRIBUTE.findall(attributes) if "=" in attributes else ():
-        words = set(_NAME.findall("".join(values).lower()))
-        if words & (BAD_ROLES if kind.lower() == "role" else BAD_WORDS):
-            return True
-    return False
+        value = "".join(values).lower()
+        if kind.lower() == "role":
+            place = place or bool(set(_NAME.findall(value)) & BAD_ROLES)
+        elif tag not in ("html", "body"):
+            name = name or any(set(_NAME.findall(v)) & BAD_WORDS for v in value.split() if not _MODIFIER.match(v))
+    return place, name
+
+
+def _wrappers(found: list[Block]) -> set[int]:
+    """Elements that are bad by class or id, but hold over half of the page's text and its h1, or all of its long text if it has no h1."""
+    held: dict[int, int] = {}
+    for b in found:
+        for e in b.by:
+            held[e] = held.get(e, 0) + len(b.text)
+    half = sum(len(b.text) for b in found) / 2
+    title = any(b.tag == "h1" for b in found)
+    return {e for e, n in held.items() if n > half and (any(b.tag == "h1" and e in b.by for b in found) if title else any(e in b.by and len(b.text) >= LONG for b in found) and all(e in b.by or b.bad or len(b.text) < LONG for b in found))}
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, without empty ones."""
     page = _DROP.sub(lambda m: " " if m[0].startswith("<!--") is False and m[1] is None and m[2] is None else "", page)
+    found = _blocks(page, set())
+    spared = _wrappers(found)
+    return _blocks(page, spared) if spared else found
+
+
+def _blocks(page: str, spared: set[int]) -> list[Block]:
+    """The blocks; elements in ``spared`` are not judged by class or id."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, in a bad place, in the article, number
+    stack: list[tuple[str, bool, bool, int, tuple[int, ...]]] = []  # tag, in a bad place, in the article, number, around it bad by class or id
     parts: list[str] = []
     links, in_link = 0, False
 
@@ -107,8 +130,8 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                tag, bad, article, _ = stack[-1] if stack else ("", False, False, 0)
-                out.append(Block(text, tag, bad, article, links, next((e[3] for e in reversed(stack) if e[0] not in PARAGRAPHS), 0)))
+                tag, bad, article, _, by = stack[-1] if stack else ("", False, False, 0, ())
+                out.append(Block(text, tag, bad, article, links, next((e[3] for e in reversed(stack) if e[0] not in PARAGRAPHS), 0), by))
         parts, links = [], 0
 
     at = 0
@@ -141,11 +164,14 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         if tag == "body":
             stack.clear()
-        bad, article = stack[-1][1:3] if stack else (False, False)
-        own = _bad_place(tag, m[3] or "", article)
+        bad, article, by = (*stack[-1][1:3], stack[-1][4]) if stack else (False, False, ())
+        place, name = _bad_place(tag, m[3] or "", article)
+        name = name and m.end() not in spared
+        own = place or name
         if tag in ("article", "main") and not own:
             bad, article = bad and article, True  # a place that was left open before the article does not hold it
-        stack.append((tag, bad or own, article, m.end()))
+            by = by if bad else ()
+        stack.append((tag, bad or own, article, m.end(), (*by, m.end()) if name else by))
     if at < len(page):
         parts.append(page[at:])
     flush()

@@ -155,6 +155,19 @@ def test_html_self_closed_and_unclosed_tags():
     assert html.main_text("<p>a</p><script src=x/>no</script><p>b</p><style>no") == "a\nb"
 
 
+def test_html_classes_of_wrappers():
+    text = "This is the text of the article, and it has a lot of the words that are in all of the texts, so that it is found to be good by the rules that we have. It is also long enough to be the main text of the page, as one would think."
+    other = text.replace("article", "comment")
+    want = f"The head\n{text}\n{text}"
+    inner = f"<div><h1>The head</h1><p>{text}</p><p>{text}</p></div>"
+    bad = f'<div class="sidebar"><p>{other}</p></div>'
+    for start in ('<body class="no-sidebar has-header">', "<html class=header><body id=widget>", '<div id=page class="with-sidebar">', '<div class="layout social"><div class="reader">'):
+        assert html.main_text(f"{start}{inner}{bad}") == want
+    assert html.main_text(f'<body><p>{text}</p><div class="comments">{f"<p>{other}</p>" * 9}</div>') == text
+    assert html.main_text(f'<body><div class="widget"><p>{text}</p></div><footer>{text}</footer>') == ""
+    assert html.main_text(f'<body><div class="widget"><p>{text}</p><p>{text}</p></div><footer>End</footer>') == f"{text}\n{text}"
+
+
 def test_html_pages(spark, tiny):
     import html as h
     import re
