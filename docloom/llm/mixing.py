@@ -1,6 +1,7 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Texts are packed into blocks of ``block_words`` words along each source: documents
+Texts are packed into blocks of ``block_words`` words (fewer in a source of less than
+64 blocks) along each source: documents
 stand one after the other in a pseudorandom order and a block may span several.
 The mix is a sequence of slots of one block each, dealt over output shards. Which
 source a slot takes is a multinomial draw without replacement: a pseudorandom
@@ -30,6 +31,8 @@ from .common import checkpoint
 WEIGHTS = (3, 1, 2)
 #: Words in a block, slots in an output shard, rounds of the permutations, buckets of the prefix sums in each source.
 BLOCK_WORDS, SHARD_SLOTS, ROUNDS, BUCKETS = 64, 4_096, 12, 1_024
+#: Blocks that a source is cut into at least, if it has the words.
+FEWEST = 64
 #: Rows, besides one for each source, of the table that finds a number's source.
 LOOKUPS = 1_024
 
@@ -95,18 +98,23 @@ class Mix:
         parts = parts.withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
         sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
         plan = targets(sizes, weights, share, most)
-        # blocks that a source has and that the mix takes; a last block may be short
-        plan = plan.withColumn("blocks", F.ceil(F.col("source_size") / b)).withColumn("takes", F.least(F.round(F.col("target") / b).cast("long"), F.lit(int(most)) * F.col("blocks")))
+        # blocks that a source has and that the mix takes: as many passes, and parts of one, as the target has. A last block may be
+        # short, and small sources have shorter blocks, so that they too can meet their target
+        plan = plan.withColumn("length", F.greatest(F.lit(1), F.least(b, F.ceil(F.col("source_size") / FEWEST))))
+        plan = plan.withColumn("blocks", F.ceil(F.col("source_size") / F.col("length")))
+        takes = F.greatest(F.lit(1), F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"))
+        plan = plan.withColumn("takes", F.when(F.col("target") > 0, F.least(takes, F.floor(F.lit(most) * F.col("blocks")))).otherwise(F.lit(0).cast("long")))
         order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
         plan = plan.withColumn("first", F.coalesce(F.sum("takes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         self.sources = checkpoint(plan.withColumn("no", F.row_number().over(order)))
         within = Window.partitionBy("source", "bucket").orderBy("k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
-        named = self.sources.select("source", "no", "source_size", "target")
+        named = self.sources.select("source", "no", "source_size", "target", "length")
         placed = spot.join(parts.select("source", "bucket", "ahead").withColumnsRenamed({"source": "s", "bucket": "k"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")))
         placed = placed.select("doc_id", "source", "k1", "k2", "size", (F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("start"))
         self.docs = checkpoint(placed.join(named.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("row", F.monotonically_increasing_id()))
         # a piece: the part of a document that is in one block, words [lo, hi) of the document
-        span = self.docs.where("size > 0").select("row", "doc_id", "k1", "k2", "no", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))).alias("block"))
+        b = F.col("length")
+        span = self.docs.where("size > 0").select("row", "doc_id", "k1", "k2", "no", "size", "start", "length", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))).alias("block"))
         lo = F.greatest(F.col("block") * b - F.col("start"), F.lit(0))
         hi = F.least((F.col("block") + 1) * b - F.col("start"), F.col("size"))
         self.pieces = span.select("row", "doc_id", "k1", "k2", "no", "block", lo.alias("lo"), hi.alias("hi"))

@@ -102,6 +102,17 @@ def test_mixing(spark):
     assert words == +taken
 
 
+def test_mixing_small_sources(spark):
+    rows = [(k, " ".join(f"w{i}" for i in range(n)), f"s{n}") for k, n in enumerate((1, 20, 40, 65))] + [(10 + k, "big " * 500, "t") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.Mix(df, share=1.9).taken().collect()}
+    assert [(got[k].target, got[k].taken) for k in range(4)] == [(2.0, 2), (40.0, 40), (80.0, 80), (130.0, 130)]
+    part = {r.doc_id: r for r in mixing.Mix(df.where("doc_id < 4")).taken().collect()}
+    assert any(r.target < 2 * r["size"] for r in part.values()) and all(abs(r.taken - r.target) <= 3 for r in part.values())
+    docs = [r.text.split() for r in mixing.mixed_documents(df, share=1.9).where("source = 's65'").collect()]
+    assert sorted(w for t in docs for w in t) == sorted(2 * rows[3][1].split())
+
+
 def test_mixing_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.Mix(empty).taken().count() == 0 and mixing.mixed_documents(empty).count() == 0
