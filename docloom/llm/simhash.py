@@ -189,8 +189,8 @@ def near_duplicates(prints: DataFrame, radius: int = 3, key: str = "key") -> Dat
     return prints.join(found, "fp")
 
 
-#: Longs in a sketch, bits that the first of them may differ in, and the similarity that links.
-SKETCH, FIRST_RADIUS, SIMILARITY = 8, 20, 0.8
+#: Longs in a sketch, the similarity that links, and standard deviations above the mean at it within which sketches are candidates.
+SKETCH, SIMILARITY, DEVIATIONS = 8, 0.8, 4
 
 
 def sketch_words(text: str, shingle: int = 5, longs: int = SKETCH) -> tuple[int, bytes]:
@@ -231,68 +231,110 @@ def with_sketch(df: DataFrame, text: str = "text", shingle: int = 5) -> DataFram
 
 
 def sketch_radius(similarity: float = SIMILARITY, longs: int = SKETCH) -> int:
-    """Bits that two sketches differ in at the similarity (equal sizes), and one standard deviation more."""
+    """Bits that two sketches differ in at the similarity (equal sizes), and ``DEVIATIONS`` standard deviations more."""
     import math
 
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(64 * longs * p + math.sqrt(64 * longs * p * (1 - p)))
+    return round(64 * longs * p + DEVIATIONS * math.sqrt(64 * longs * p * (1 - p)))
 
 
-def similar_groups(a, sa, b, sb, radius: int, similarity: float):
-    """As ``linked_groups``, over rows of sketches with sizes: links need sizes and sketches within bounds."""
+def similar_pairs(a, sa, ca, b, sb, cb, radius: int, similarity: float, forest: bool):
+    """Pairs (i, j) of rows of sketches, with sizes and groups, of different groups and within the bounds; ``b`` None: ``a`` with itself.
+
+    Rows of ``b`` are numbered after those of ``a``. With ``forest``, pairs of a spanning forest only.
+    """
     import numpy as np
 
-    label = np.arange(len(a) + (0 if b is None else len(b)))
-    shift, b, sb = (0, a, sa) if b is None else (len(a), b, sb)
-    same = shift == 0
+    same = b is None
+    label = np.arange(len(a) + (0 if same else len(b)))
+    shift, b, sb, cb = (0, a, sa, ca) if same else (len(a), b, sb, cb)
+    first, out = sketch_radius(similarity, 1), []
     for r in range(0, len(a), BLOCK):
         for c in range(r if same else 0, len(b), BLOCK):
             x, y, m, n = a[r : r + BLOCK], b[c : c + BLOCK], sa[r : r + BLOCK], sb[c : c + BLOCK]
-            i, j = np.nonzero(np.bitwise_count(x[:, 0][:, None] ^ y[:, 0][None, :]) <= FIRST_RADIUS)
-            apart = label[i + r] != label[j + c + shift]  # links within a group are no news
+            i, j = np.nonzero(np.bitwise_count(x[:, 0][:, None] ^ y[:, 0][None, :]) <= first)
+            apart = ca[i + r] != cb[j + c]
+            if same and r == c:
+                apart &= i < j
+            if forest:
+                apart &= label[i + r] != label[j + c + shift]  # links within a group are no news
             i, j = i[apart], j[apart]
             sized = np.minimum(m[i], n[j]) >= similarity * np.maximum(m[i], n[j])
             i, j = i[sized], j[sized]
             for k in range(0, len(i), 1 << 17):
                 p, q = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
                 near = np.bitwise_count(x[p] ^ y[q]).sum(1, dtype=np.int64) <= radius
-                union_labels(label, p[near] + r, q[near] + c + shift)
-    return label
-
-
-def _compare_sketches(radius: int, similarity: float):
+                p, q = p[near] + r, q[near] + c + shift
+                if not forest:
+                    out.append((p, q))
+                    continue
+                old = label.copy()
+                union_labels(label, p, q)
+                moved = np.flatnonzero(old != label)  # each joins its group's new least row
+                out.append((label[moved], moved))
+    return [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1)]
+
+
+def _compare_sketches(radius: int, similarity: float, forest: bool):
     def run(table):
         import numpy as np
         import pyarrow as pa
 
         rows = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u8").reshape(table.num_rows, -1)
-        size, rep, side = (table.column(c).to_numpy() for c in ("size", "rep", "side"))
+        size, rep, comp, side = (table.column(c).to_numpy() for c in ("size", "rep", "comp", "side"))
         left, right = side == 0, side == 1
-        two = right.any()
-        label = similar_groups(rows[left], size[left], rows[right] if two else None, size[right] if two else None, radius, similarity)
+        other = (rows[right], size[right], comp[right]) if right.any() else (None, None, None)
+        i, j = similar_pairs(rows[left], size[left], comp[left], *other, radius, similarity, forest)
         reps = np.concatenate([rep[left], rep[right]])
-        low = np.full(len(label), np.iinfo(np.int64).max)
-        np.minimum.at(low, label, reps)
-        far = (low := low[label]) != reps
-        return pa.table({"src": pa.array(low[far]), "dst": pa.array(reps[far])})
+        return pa.table({"src": pa.array(np.minimum(reps[i], reps[j])), "dst": pa.array(np.maximum(reps[i], reps[j]))})
 
     return run
 
 
-def similar_documents(sketches: DataFrame, key: str = "doc_id", similarity: float = SIMILARITY, tile_rows: int = 8_192) -> DataFrame:
-    """Rows (size, sketch, component) for the distinct sketches of ``sketches`` (key, size, sketch; materialised).
+def shingle_set(text: str, shingle: int = 5):
+    """The distinct hashes of a text's word shingles, as longs."""
+    import numpy as np
+    import xxhash
+
+    words = text.encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    n = max(1, len(words) - shingle + 1)
+    every = {b" ".join(words)} if n == 1 else {b" ".join(x) for x in zip(*(words[i:] for i in range(shingle)))}  # noqa: B905
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in every], np.uint64)).view(np.int64)
+
+
+def with_shingles(df: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
+    """(id, set) of rows (id, text). No shuffle."""
 
-    The same tiled comparison for near copies: a tile holds sketches of like size
-    (sizes within the similarity are in the same or neighbouring tiles of sizes), and
-    the driver gets the row count of each of at most some hundred sizes of tiles.
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x or "", shingle) for x in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "set"])
+
+    return df.select("id", F.col(text).alias("text")).mapInArrow(run, "id long, set array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (src, dst) whose sets of shingles have the Jaccard similarity, exactly. Two empty sets are alike."""
+    both = pairs.join(sets.select(F.col("id").alias("dst"), F.col("set").alias("y")), "dst").join(sets.select(F.col("id").alias("src"), F.col("set").alias("x")), "src")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - F.lit(1e-9)).select("src", "dst")
+
+
+def _sketch_tiles(cells: DataFrame, radius: int, similarity: float, tile_rows: int, forest: bool) -> DataFrame:
+    """Pairs (src, dst) of ``rep`` that are candidates, of rows (size, sketch, rep, comp) of different comp.
+
+    The same tiled comparison: a tile holds sketches of like size (sizes within the
+    similarity are in the same or neighbouring tiles of sizes), and the driver gets the
+    row count of each of at most some hundred sizes of tiles.
     """
     import math
 
-    spark = sketches.sparkSession
-    radius = sketch_radius(similarity)
-    distinct = checkpoint(sketches.groupBy("size", "sketch").agg(F.min(key).cast("long").alias("rep")))
+    spark = cells.sparkSession
     band = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / math.log(1 / similarity)).cast("int")
-    cells = distinct.where("rep is not null").withColumn("cell", band)
+    cells = cells.withColumn("cell", band)
     split = {r["cell"]: -(-r["n"] // tile_rows) for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     pairs, number = [], 0
     for c in sorted(split):
@@ -303,19 +345,46 @@ def similar_documents(sketches: DataFrame, key: str = "doc_id", similarity: floa
                     number += 1
     listed = spark.createDataFrame(pairs, "cell int, tile int, pair long, side int")
     sizes = spark.createDataFrame(list(split.items()), "cell int, tiles int")
-    tiles = cells.join(F.broadcast(sizes), "cell").withColumn("tile", F.pmod(F.xxhash64("sketch"), F.col("tiles")).cast("int"))
-    sent = tiles.join(listed, ["cell", "tile"]).select("pair", "side", "size", "sketch", "rep")
-    groups = connected_components(sent.groupBy("pair").applyInArrow(_compare_sketches(radius, similarity), "src long, dst long"))
-    return distinct.join(groups, distinct["rep"] == groups["id"], "left").select("size", "sketch", F.coalesce("component", "rep").alias("component"))
+    tiles = cells.join(F.broadcast(sizes), "cell").withColumn("tile", F.pmod(F.xxhash64("sketch", "rep"), F.col("tiles")).cast("int"))
+    sent = tiles.join(listed, ["cell", "tile"]).select("pair", "side", "size", "sketch", "rep", "comp")
+    return sent.groupBy("pair").applyInArrow(_compare_sketches(radius, similarity, forest), "src long, dst long")
+
+
+def similar_documents(rows: DataFrame, similarity: float = SIMILARITY, tile_rows: int = 8_192) -> DataFrame:
+    """(id, component) for all rows (id, text, size, sketch; materialised) that links of the Jaccard similarity join.
+
+    Sketches only find candidates; a link counts if the sets of shingles have the
+    similarity. Candidate groups are formed from forests; forest edges and pairs with a
+    group's least row are verified first, which joins what is dense, and then all
+    candidate pairs of rows that are still apart.
+    """
+    radius = sketch_radius(similarity)
+    lone = checkpoint(rows.select("size", "sketch", F.col("id").alias("rep"), F.col("id").alias("comp")))
+    forest = checkpoint(_sketch_tiles(lone, radius, similarity, tile_rows, True).distinct())
+    groups = checkpoint(connected_components(forest))
+    sets = checkpoint(with_shingles(rows.join(groups, "id", "left_semi")))
+    stars = forest.union(groups.where("id > component").select(F.col("component").alias("src"), F.col("id").alias("dst"))).distinct()
+    sure = checkpoint(verified(stars, sets, similarity))
+    joined = checkpoint(connected_components(sure))
+    apart = lone.join(groups, lone["rep"] == groups["id"], "left_semi").drop("comp").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
+    apart = checkpoint(apart.select("size", "sketch", "rep", F.coalesce("component", "rep").alias("comp")))
+    rest = verified(checkpoint(_sketch_tiles(apart, radius, similarity, tile_rows, False).distinct()), sets, similarity)
+    return connected_components(checkpoint(sure.union(rest)))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near copies: that of the least key (null if a group has no other)."""
     marked = with_sketch(docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).alias("text")))
-    found = similar_documents(checkpoint(marked.select("key", "size", "sketch")), "key")
-    first = marked.drop("text").join(found, ["size", "sketch"]).where(F.col("key").eqNullSafe(F.col("component")))
-    # what is left of a group are rows of its least key; repeated ones count once
-    return first.dropDuplicates(["size", "sketch", "key"]).select("row.*")
+    marked = checkpoint(marked.withColumn("id", F.monotonically_increasing_id()))
+    # rows of one text are one; the sets of rows that differ decide
+    same = marked.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("2"), "text"))
+    texts = checkpoint(same.groupBy("t1", "t2", "size", "sketch").agg(F.min("id").alias("one")))
+    alone = marked.join(texts.select(F.col("one").alias("id")), "id", "left_semi").select("id", "text", "size", "sketch")
+    found = similar_documents(alone).withColumnRenamed("id", "one")
+    group = texts.join(found, "one", "left").select("t1", "t2", "size", "sketch", F.coalesce("component", "one").alias("component"))
+    ranked = same.join(group, ["t1", "t2", "size", "sketch"]).select("id", "key", "component")
+    first = ranked.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "id")).alias("least"))
+    return marked.join(first.select(F.col("least.id").alias("id")), "id", "left_semi").select("row.*")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

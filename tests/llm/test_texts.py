@@ -94,6 +94,24 @@ def test_near_copies_leave_one(spark):
     assert simhash.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_copies_by_exact_similarity(spark):
+    """Pairs about the bound of 0.8 against their Jaccard similarity."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    rows, linked = [], []
+    for k in range(300):
+        a = [word() for _ in range(104)]
+        b = [*a]
+        b[100 - k % 20 :] = [word() for _ in range(4 + k % 20)]
+        x, y = ({" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        linked.append(len(x & y) >= 0.8 * len(x | y))
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 50 < sum(linked) < 250 and all(2 * k in got for k in range(300))
+    assert not any(2 * k + 1 not in got for k in range(300) if not linked[k])
+    assert sum(2 * k + 1 not in got for k in range(300) if linked[k]) >= 0.99 * sum(linked)
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     n = np.array([1, 4, 3])
