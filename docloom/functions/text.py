@@ -63,6 +63,11 @@ def version_at_most(a: Column, b: Column) -> Column:
     return F.when(F.rlike(a, F.lit(form)) & F.rlike(b, F.lit(form)), number(a) <= number(b)).otherwise(a <= b)
 
 
+def not_after(version: Column, last: str) -> Column:
+    """Whether a version is ``last`` or before, or missing (as in entries from before versions were kept)."""
+    return version.isNull() | version_at_most(version, F.lit(last))
+
+
 def without_frontmatter(page: Column) -> Column:
     return F.regexp_replace(page, FRONTMATTER, "")
 
@@ -92,8 +97,8 @@ def after_fence(page: Column) -> Column:
     return F.when(close > 0, F.substr(page, close + len(FENCE_CLOSE))).otherwise(F.lit(""))
 
 
-def escape_markup(text: Column) -> Column:
-    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+def escape_markup(text: Column, apostrophe: bool = False) -> Column:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), *((("'", "&#39;"),) if apostrophe else ())):
         text = F.replace(text, F.lit(raw), F.lit(safe))
     return text
 
@@ -103,20 +108,41 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x * 100 + 0.5) / 100
 
 
+FENCE = r"<!--\s*managed:start[^>]*-->(.*?)<!--\s*managed:end\s*-->"
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
 def body_of(page: Column) -> Column:
-    """A page without frontmatter and fence, trimmed."""
-    bare = F.regexp_replace(without_frontmatter(page), r"(?s)<!--\s*managed:start[^>]*-->.*?<!--\s*managed:end\s*-->", "")
-    return F.regexp_replace(bare, r"\A\s+|\s+\z", "")
+    """A page without frontmatter and its first fence, trimmed."""
+    bare, cut = without_frontmatter(page), r"(?s)\A(.*?)" + FENCE + r"(.*)\z"
+    return trimmed(F.when(F.rlike(bare, F.lit(cut)), F.concat(F.regexp_extract(bare, cut, 1), F.regexp_extract(bare, cut, 3))).otherwise(bare))
+
+
+def fence_body(page: Column) -> Column:
+    """The trimmed text of a page's first fence; empty without one."""
+    return trimmed(F.regexp_extract(without_frontmatter(page), "(?s)" + FENCE, 1))
 
 
 def sections(body: Column) -> Column:
     """The second-level headings of a page, in order."""
-    return F.regexp_extract_all(body, F.lit(r"(?m)^##[ \t]+(.+?)[ \t]*$"), F.lit(1))
+    return F.regexp_extract_all(body, F.lit(r"(?m)^##\s+(.+?)\s*$"), F.lit(1))
 
 
 def flow_words(page: Column) -> Column:
-    """Words between the heading ``## Main flow`` and the next second-level heading or the end."""
-    at = F.instr(F.concat(F.lit("\n"), page), "\n## Main flow\n")
-    rest = F.substr(page, at + 13)
-    flow = F.when(F.instr(rest, "\n## ") > 0, F.substring_index(rest, "\n## ", 1)).otherwise(rest)
-    return F.when(at > 0, F.size(F.filter(F.split(flow, r"\s+"), lambda w: w != ""))).otherwise(0).cast("long")
+    """Words between the heading ``Main flow`` and the next second-level heading or the end."""
+    flow = F.regexp_extract(page, r"(?m)^##\s+Main flow\s*$([\s\S]*?)(?=^##\s|\z)", 1)
+    return F.size(F.filter(F.split(flow, r"\s+"), lambda w: w != "")).cast("long")
+
+
+def frontmatter_fields(page: Column) -> Column:
+    """A map of the flat keys of a page's frontmatter to their text, quotes taken off; empty without frontmatter."""
+    head = F.regexp_extract(page, r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n", 1)
+    line = r"(?m)^([A-Za-z_][A-Za-z0-9_-]*):[ \t]*(.*?)[ \t\r]*$"
+    keys, values = (F.regexp_extract_all(head, F.lit(line), F.lit(g)) for g in (1, 2))
+    entries = F.arrays_zip(keys.alias("key"), F.transform(values, lambda v: F.regexp_replace(v, r"^(['\"])(.*)\1$", "$2")).alias("value"))
+    # of a key that comes twice the last one counts
+    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+    return F.map_from_entries(last)

@@ -19,33 +19,58 @@ def latest_by_page(log: DataFrame) -> DataFrame:
 
 
 def tail(log: DataFrame, n: int) -> DataFrame:
-    """The last ``n`` entries. A top-k: each task keeps n rows."""
-    return log.orderBy(F.desc("seq")).limit(max(n, 0))
+    """The last ``n`` entries, oldest first. A top-k: each task keeps n rows."""
+    return log.orderBy(F.desc("seq")).limit(max(n, 0)).orderBy("seq")
 
 
-def canonical(prev: Column) -> Column:
-    """An entry as JSON with sorted keys, without blanks; nulls are kept."""
-    def text(c):
-        return F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
+def newest_pages(log: DataFrame, n: int | None) -> DataFrame:
+    """The latest entry of each page, of the ``n`` pages with the newest ones (all if there is no limit)."""
+    latest = latest_by_page(log)
+    return latest if not n else latest.orderBy(F.desc("seq")).limit(n)
 
-    fields = (("commit", F.col("commit")), ("content_hash", F.col("content_hash")), ("operation", F.col("operation")), ("outcome", F.col("outcome")), ("page", F.col("page")), ("prev_hash", prev))
-    parts = [F.concat(F.lit(f'"{k}":'), text(v)) for k, v in fields]
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
+#: Fields that an entry gets after it is hashed.
+UNHASHED = ("entry_hash", "signature", "timestamp_token")
 
-def entry_hash(prev: Column) -> Column:
-    return F.concat(F.lit("sha256:"), F.sha2(canonical(prev).cast("binary"), 256))
 
+def canonical_json(raw: Column, without: tuple[str, ...] = ()) -> Column:
+    """A JSON object with sorted keys at every level and no blanks, nulls kept, top-level keys ``without`` left out; null if it is no JSON object."""
+    fields = F.from_json(raw, "map<string,variant>")
+    keys = F.array_sort(F.filter(F.map_keys(fields), lambda k: ~k.isin(*without))) if without else F.array_sort(F.map_keys(fields))
+    return F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(_quoted(k), F.lit(":"), F.coalesce(F.to_json(fields[k]), F.lit("null")))), ","), F.lit("}"))
 
-def chain(log: DataFrame, by: str = "page") -> DataFrame:
-    """``log`` with ``prev_hash`` and ``entry_hash``, chained by ``seq`` within each ``by``.
 
-    A chain is sequential by nature. Logs are dealt over tasks and sorted there, and a task
-    reads its rows as a stream with one hash in hand, so a long log takes no more memory.
+def _quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(text.alias("k"))), r"(?s)\A\{\"k\":(.*)\}\z", 1)
+
+
+def sha(text: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
+
+
+def chain(log: DataFrame, by: str = "log", order: str = "seq", fields: list[str] | None = None) -> DataFrame:
+    """``log`` with ``prev_hash`` and ``entry_hash``, chained by ``order`` within each log ``by``.
+
+    The entry that is hashed has ``fields`` (all columns but these two by default), of any
+    type, nulls kept, and the hash before. One log is sequential by nature, so it is one
+    task's work; logs are dealt over tasks and sorted there, and a task reads its rows as
+    a stream with one hash in hand, so a long log takes no more memory.
     """
-    mark = "@prev@"
-    ready = log.select("*", canonical(F.lit(mark)).alias("__json")).repartition(by).sortWithinPartitions(by, "seq")
-    names = [*log.columns, "prev_hash", "entry_hash"]
+    from pyspark.sql import types as T
+
+    fields = sorted(fields or [c for c in log.columns if c not in (by, order)])
+    before, after = [c for c in fields if c < "prev_hash"], [c for c in fields if c > "prev_hash"]
+
+    def part(columns: list[str]) -> Column:
+        if not columns:
+            return F.lit("")
+        return F.regexp_extract(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), r"(?s)\A\{(.*)\}\z", 1)
+
+    head = F.concat(F.lit("{"), part(before), F.lit("," if before else ""), F.lit('"prev_hash":'))
+    rest = F.concat(F.lit("," if after else ""), part(after), F.lit("}"))
+    row = F.struct(*log.columns)
+    ready = log.select(row.alias("row"), F.col(by).alias("by"), F.col(order).alias("order"), head.alias("head"), rest.alias("rest")).repartition("by").sortWithinPartitions("by", "order")
 
     def run(batches):
         import hashlib
@@ -55,32 +80,120 @@ def chain(log: DataFrame, by: str = "page") -> DataFrame:
         log_id, last = None, None
         for batch in batches:
             prevs, hashes = [], []
-            for who, text in zip(batch.column(batch.schema.get_field_index(by)).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for who, a, b in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4)), strict=True):
                 if who != log_id:
                     log_id, last = who, None
                 prevs.append(last)
-                last = "sha256:" + hashlib.sha256(text.replace(f'"{mark}"', "null" if last is None else f'"{last}"').encode()).hexdigest()
+                last = "sha256:" + hashlib.sha256((a + ("null" if last is None else f'"{last}"') + b).encode()).hexdigest()
                 hashes.append(last)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], names=["row", "prev_hash", "entry_hash"])
 
-    from pyspark.sql import types as T
+    schema = T.StructType([ready.schema["row"], T.StructField("prev_hash", T.StringType()), T.StructField("entry_hash", T.StringType())])
+    return ready.mapInArrow(run, schema).select("row.*", "prev_hash", "entry_hash")
+
+
+def lines(entries: DataFrame, fields: list[str]) -> Column:
+    """Entries as JSON lines, with ``prev_hash`` and ``entry_hash``; nulls are kept."""
+    return F.to_json(F.struct(*sorted([*fields, "prev_hash", "entry_hash"])), {"ignoreNullFields": "false"})
 
-    schema = T.StructType([*log.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("entry_hash", T.StringType())])
-    return ready.mapInArrow(run, schema)
 
+def parsed_lines(log: DataFrame, raw: str = "raw") -> DataFrame:
+    """``log`` with the parts of its JSON lines that verifying needs; all null where a line is no JSON object. Blank lines are dropped."""
+    found = F.from_json(raw, "map<string,variant>")
+    text = lambda k: F.try_variant_get(F.col("__m")[k], "$", "string")
+    out = log.where(F.col(raw) != "").withColumn("__m", found)
+    return out.select(*log.columns, F.col("__m").isNotNull().alias("is_json"), text("entry_hash").alias("entry_hash"), text("prev_hash").alias("prev_hash"), text("signature").alias("signature"), text("signing_key_id").alias("signing_key_id"), sha(canonical_json(F.col(raw), UNHASHED)).alias("recomputed"))
 
-def verify(log: DataFrame, by: str = "page", width: int = 4096) -> DataFrame:
-    """``log`` (with hashes) with ``reason``: ``tampered``, ``chain break`` or null, for each entry by itself.
 
-    The hash before an entry is the claimed one. Windows hold a range of a log; the last
-    hash of the ranges before comes from one row for each range.
+def verify(log: DataFrame, by: str = "log", raw: str = "raw", keys: DataFrame | None = None, require_signed: bool = False, width: int = 4096) -> DataFrame:
+    """(by, seq, valid, signed, reasons) of the entries of ``log`` (by, seq, raw), each by itself.
+
+    A line that is no JSON is an error and leaves the hash before as it is; an entry
+    whose hash does not fit is tampered and not valid; one that does not follow the
+    claimed hash before it breaks the chain but is valid. Signatures are compared with
+    ``keys`` (signing_key_id), which are few: without their key they are an error.
+    Windows hold a range of a log; the last hash of the ranges before comes from one row
+    for each range.
+    """
+    got = parsed_lines(log.select(by, "seq", raw), raw).withColumn("range", F.floor(F.col("seq") / width))
+    # a claimed hash may be null: the struct says that there was an entry
+    claim = F.when(F.col("is_json"), F.struct("entry_hash"))
+    ends = got.where("is_json").groupBy(by, "range").agg(F.max_by(F.struct("entry_hash"), "seq").alias("end"))
+    every = got.select(by, "range").distinct().join(ends, [by, "range"], "left")
+    carry = every.select(by, "range", F.last("end", ignorenulls=True).over(Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
+    within = Window.partitionBy(by, "range").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    got = got.withColumn("last", F.last(claim, ignorenulls=True).over(within)).join(carry, [by, "range"])
+    known = F.lit(False)
+    if keys is not None:
+        got = got.join(F.broadcast(keys.select("signing_key_id", F.lit(True).alias("known")).distinct()), "signing_key_id", "left")
+        known = F.coalesce("known", F.lit(False))
+    tampered = ~F.col("recomputed").eqNullSafe(F.col("entry_hash"))
+    broken = ~F.col("prev_hash").eqNullSafe(F.coalesce("last", "carry")["entry_hash"])
+    signed = F.coalesce(F.col("signature") != "", F.lit(False))
+    checks = [
+        F.when(~F.col("is_json"), "not valid JSON"),
+        F.when(F.col("is_json") & tampered, "tampered"),
+        F.when(F.col("is_json") & ~tampered & broken, "chain break"),
+        F.when(F.col("is_json") & ~tampered & signed & ~known, "unknown signing key"),
+        F.when(F.col("is_json") & ~tampered & ~signed, "unsigned") if require_signed else F.lit(None).cast("string"),
+    ]
+    valid = F.col("is_json") & ~tampered
+    return got.select(by, "seq", valid.alias("valid"), (valid & signed & known).alias("signed"), (valid & ~signed).alias("unsigned"), F.array_compact(F.array(*checks)).alias("reasons"))
+
+
+def tallies(verified: DataFrame, by: str = "log") -> DataFrame:
+    """One row for each log: entries, valid, signed and unsigned ones, and errors; ``ok`` without errors."""
+    out = verified.groupBy(by).agg(F.count("*").alias("total"), F.count_if("valid").alias("valid"), F.count_if("signed").alias("signed"), F.count_if("unsigned").alias("unsigned"), F.sum(F.size("reasons")).cast("long").alias("errors"))
+    return out.withColumn("ok", F.col("errors") == 0)
+
+
+# What an entry may say that was done, and how it ended.
+OPERATIONS = ("generate", "publish", "regenerate-skip", "manual", "claim", "claim_aborted", "retried", "calibration_recomputed")
+OUTCOME_SIGNS = {"created": "+", "updated": "~", "unchanged": "·", "skipped": "○", "error": "✗", "recovered": "↻", "no_help": "⊘", "fitted": "⊕"}
+
+
+def known_kinds(log: DataFrame) -> DataFrame:
+    """The entries whose operation and outcome are among the known ones."""
+    return log.where(F.col("operation").isin(*OPERATIONS) & F.col("outcome").isin(*OUTCOME_SIGNS))
+
+
+def outcome_sign(outcome: Column) -> Column:
+    out = F.lit("?")
+    for name, sign in OUTCOME_SIGNS.items():
+        out = F.when(outcome == name, sign).otherwise(out)
+    return out
+
+
+def shown(entries: DataFrame, least: int = 9) -> DataFrame:
+    """(seq, line): entries as lines of a table whose column of operations is as wide as the longest one shown."""
+    width = entries.agg(F.greatest(F.lit(least), F.max(F.char_length("operation"))).alias("width"))
+    time = F.substring(F.replace("timestamp", F.lit("T"), F.lit(" ")), 1, 19)
+    wide = entries.join(F.broadcast(width))  # one row
+    line = F.concat(F.lit("  "), time, F.lit("  "), F.substring("commit", 1, 7), F.lit("  "), outcome_sign(F.col("outcome")), F.lit(" "), F.rpad("operation", F.col("width"), F.lit(" ")), F.lit(" "), "page")
+    return wide.select("seq", line.alias("line"))
+
+
+REPLAY_SIGNS = {"unchanged": "·", "changed": "~", "skipped": "○", "error": "✗"}
+
+
+def replay_results(latest: DataFrame, matched: DataFrame, rendered: DataFrame) -> DataFrame:
+    """(seq, page, status, reason, lines, sections): the latest entries (seq, page, source, body_hash, n_lines, n_sections) rendered again.
+
+    ``matched`` (seq, name, found_file) has the candidate of each entry, ``rendered`` (seq, body_hash, n_lines, n_sections) the new pages.
     """
-    ranged = log.withColumn("__range", F.floor(F.col("seq") / width))
-    ends = ranged.groupBy(by, "__range").agg(F.max(F.struct("seq", "entry_hash")).alias("end"))
-    carry = ends.select(F.col(by).alias("__by"), F.col("__range").alias("__r"), F.lag("end.entry_hash").over(Window.partitionBy(by).orderBy("__range")).alias("__carry"))
-    within = Window.partitionBy(by, "__range").orderBy("seq")
-    before = ranged.withColumn("__before", F.lag("entry_hash").over(within)).withColumn("__first", F.row_number().over(within) == 1)
-    joined = before.join(carry, (F.col(by) == F.col("__by")) & (F.col("__range") == F.col("__r")))
-    expected = F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__before"))
-    reason = F.when(F.col("entry_hash") != entry_hash(F.col("prev_hash")), "tampered").when(~F.col("prev_hash").eqNullSafe(expected), "chain break")
-    return joined.select(*log.columns, reason.alias("reason"))
+    new = rendered.select("seq", F.col("body_hash").alias("new_hash"), F.col("n_lines").alias("new_lines"), F.col("n_sections").alias("new_sections"))
+    both = latest.join(matched, "seq", "left").join(new, "seq", "left")
+    reason = F.when(F.coalesce("source", F.lit("")) == "", "no source in the entry").when(~F.coalesce("found_file", F.lit(False)), "the source file is gone").when(F.col("name").isNull(), "no candidate fits").when(F.col("new_hash").isNull(), "rendering failed")
+    status = F.when(F.col("new_hash").isNull() & F.col("name").isNotNull(), "error").when(reason.isNotNull(), "skipped").when(F.col("new_hash") == F.col("body_hash"), "unchanged").otherwise("changed")
+    delta = lambda new, old: F.when(reason.isNull(), F.col(new) - F.col(old))
+    return both.select("seq", "page", status.alias("status"), reason.alias("reason"), delta("new_lines", "n_lines").alias("lines"), delta("new_sections", "n_sections").alias("sections"))
+
+
+def replay_totals(results: DataFrame) -> DataFrame:
+    """One row: pages replayed and the count of each status, zero where there is none."""
+    return results.agg(F.count("*").alias("pages"), *(F.count_if(F.col("status") == s).alias("errors" if s == "error" else s) for s in REPLAY_SIGNS))
+
+
+def delta_text(d: Column) -> Column:
+    """A difference with its sign; ``?`` for null."""
+    return F.when(d.isNull(), "?").when(d > 0, F.concat(F.lit("+"), d)).otherwise(d.cast("string"))

@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions.text import slug_matches
 
-# Files that are read, and folders that are not.
+# Files that are read (case counts), and folders that are not.
 INCLUDED = r"(\.(java|cfc|cfm|cs|asax|ascx)|_controller\.rb|(^|/)views\.py|_views\.py|(^|/)views/.*\.py)$"
 EXCLUDED = r"(^|/)(node_modules|target|build|dist|\.git|test|tests|test-harness|spec|specs|__tests__|__mocks__|[^/]*benchmarks?[^/]*|references)/"
+HIDDEN = r"(^|/)\."
 LANGUAGES = (("java", "java"), ("cfc", "cfml"), ("cfm", "cfml"), ("rb", "ruby"), ("py", "python"))
 
 
 def scanned(path: Column) -> Column:
-    """Whether a path is included and not excluded. Built-in expressions, so it filters before any parser runs."""
-    return F.rlike(F.lower(path), F.lit(INCLUDED)) & ~F.rlike(path, F.lit(EXCLUDED))
+    """Whether a path is included and not excluded, nor a dot file or in a dot folder. Built-in expressions, so it filters before any parser runs."""
+    return F.rlike(path, F.lit(INCLUDED)) & ~F.rlike(path, F.lit(EXCLUDED)) & ~F.rlike(path, F.lit(HIDDEN))
+
+
+def with_extension(path: Column, *extensions: str) -> Column:
+    """Whether a path has one of the extensions and is not excluded."""
+    some = F.rlike(path, F.lit(r"\.(" + "|".join(e.lstrip(".") for e in extensions) + ")$"))
+    return some & ~F.rlike(path, F.lit(EXCLUDED)) & ~F.rlike(path, F.lit(HIDDEN))
 
 
 def language_of(path: Column) -> Column:
@@ -56,6 +63,27 @@ def sample_even(df: DataFrame, key: str, n: int, width: int = 8192) -> DataFrame
 
 
 def match_pages(entries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(seq, name): for each entry (seq, page, source) the first candidate of its file, by line, whose name fits the page."""
-    both = entries.join(candidates, entries["source"] == candidates["relative_path"]).where(slug_matches(F.col("name"), F.col("page")))
-    return both.groupBy("seq").agg(F.min(F.struct("line_start", "name")).alias("first")).select("seq", F.col("first.name").alias("name"))
+    """(seq, name): for each entry (seq, page, source) the first candidate of its file, by line, whose name fits the page.
+
+    Names are few where rows are many: pairs are formed of the distinct pages of a file
+    and its distinct names with their first line, and joined back to the entries.
+    """
+    names = candidates.groupBy("relative_path", "name").agg(F.min("line_start").alias("line_start"))
+    pages = entries.select("page", "source").distinct()
+    both = pages.join(names, pages["source"] == names["relative_path"]).where(slug_matches(F.col("name"), F.col("page")))
+    first = both.groupBy("page", "source").agg(F.min(F.struct("line_start", "name")).alias("first"))
+    return entries.join(first, ["page", "source"]).select("seq", F.col("first.name").alias("name"))
+
+
+def confident(confidence: Column, least: str) -> Column:
+    """Whether a page's confidence is ``least`` or more; what is no level counts as low."""
+    levels = {"high": 3, "medium": 2, "low": 1}
+    if least not in levels:
+        raise ValueError(f"confidence must be one of {', '.join(levels)}: {least}")
+    rank = F.when(confidence == "high", 3).when(confidence == "medium", 2).otherwise(1)
+    return rank >= levels[least]
+
+
+def group_folder(path: Column) -> Column:
+    """The first folder of a path with slashes of either kind; ``(root)`` without one."""
+    return F.when(F.rlike(path, F.lit(r"[/\\]")), F.coalesce(F.nullif(F.split(path, r"[/\\]")[0], F.lit("")), F.lit("(root)"))).otherwise("(root)")
