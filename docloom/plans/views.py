@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log of operations on pages: seq orders it."""
+    """Logs of operations on pages: seq orders them."""
     e, k, kind = table(spark, sf_dir, "events"), F.col("k"), F.col("event_type")
     e = e.withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).try_cast("int"))
     operation = F.when(kind == "purchase", "publish").when((kind == "error") & (k >= 50), "retried").otherwise("generate")
@@ -26,6 +26,7 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("c"), F.expr("event_id div 400")).alias("commit"), F.when(k % 26 != 25, F.concat(F.lit("v"), k % 26)).alias("prompt_version"),
         F.when(kind != "error", F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit("body-"), F.col("event_id") % 97).cast("binary"), 256))).alias("content_hash"),
         F.when(k < 60, "high").when(k < 85, "medium").when(k < 97, "low").otherwise("HIGH").alias("confidence"),
+        (F.col("event_id") % 40).alias("log"), F.concat(F.lit("2024-01-01T00:00:"), F.lpad((F.col("event_id") % 60).cast("string"), 2, "0"), F.lit("Z")).alias("timestamp"),
     )
 
 
@@ -33,9 +34,10 @@ AUDIT = """audit AS (SELECT event_id AS seq, 'page-' || user_id AS page,
   CASE WHEN event_type = 'purchase' THEN 'publish' WHEN event_type = 'error' AND k >= 50 THEN 'retried' ELSE 'generate' END AS operation,
   CASE WHEN event_type = 'signup' THEN 'created' WHEN event_type = 'view' THEN 'unchanged'
     WHEN event_type = 'error' THEN CASE WHEN k < 50 THEN 'error' WHEN k < 80 THEN 'recovered' ELSE 'no_help' END ELSE 'updated' END AS outcome,
-  'c' || (event_id // 400) AS commit, CASE WHEN k % 26 <> 25 THEN 'v' || (k % 26) END AS prompt_version,
+  'c' || (event_id // 400) AS "commit", CASE WHEN k % 26 <> 25 THEN 'v' || (k % 26) END AS prompt_version,
   CASE WHEN event_type <> 'error' THEN 'sha256:' || sha256('body-' || (event_id % 97)) END AS content_hash,
-  CASE WHEN k < 60 THEN 'high' WHEN k < 85 THEN 'medium' WHEN k < 97 THEN 'low' ELSE 'HIGH' END AS confidence
+  CASE WHEN k < 60 THEN 'high' WHEN k < 85 THEN 'medium' WHEN k < 97 THEN 'low' ELSE 'HIGH' END AS confidence,
+  event_id % 40 AS log, '2024-01-01T00:00:' || lpad((event_id % 60)::VARCHAR, 2, '0') || 'Z' AS timestamp
   FROM (SELECT *, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events))"""
 
 
@@ -60,36 +62,46 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered pages: frontmatter, sections, fence, and a note of the team behind every fifth fence."""
     i = F.col("doc_id")
     docs = table(spark, sf_dir, "documents")
-    flow = F.when(i % 4 != 0, F.concat(F.lit("\n\n## Main flow\n\n1. first step of "), F.coalesce("source", F.lit("none")), F.lit("\n2. second step"))).otherwise("")
+    flow = F.when(i % 4 != 0, F.concat(F.when(i % 3 == 0, "\n\n##  Main flow \n\n1. first step of ").otherwise("\n\n## Main flow\n\n1. first step of "), F.coalesce("source", F.lit("none")), F.lit("\n2. second step"))).otherwise("")
     fence = F.concat(F.lit(f"\n\n---\n\n{FENCE_OPEN} key="), i, F.lit(" -->\ncommit: c"), i % 9, F.lit(f"\n{FENCE_CLOSE}\n"))
-    head = F.concat(F.lit("---\ntitle: T"), i, F.when(i % 10 != 3, F.concat(F.lit("\nslug: t-"), i)).otherwise(""), F.lit("\nconfidence: "), F.when(i % 3 == 0, "high").when(i % 3 == 1, "medium").otherwise("HIGH"), F.lit("\n---\n\n## Summary\n\n"))
+    fence = F.when(i % 16 == 9, F.concat(fence, F.lit(f"{FENCE_OPEN} -->again{FENCE_CLOSE}\n"))).otherwise(fence)
+    head = F.concat(F.when(i % 6 != 1, F.concat(F.lit("---\nkey: k-"), i, F.lit("\ntitle: T"))).otherwise("---\ntitle: T"), i, F.when(i % 10 != 3, F.concat(F.lit("\nslug: t-"), i)).otherwise(""), F.lit("\nconfidence: "), F.when(i % 3 == 0, "high").when(i % 3 == 1, "medium").otherwise("HIGH"), F.lit("\n---\n\n## Summary\n\n"))
     note = F.when(i % 5 == 0, F.concat(F.lit("Team note "), i)).otherwise("")
     return docs.select("doc_id", F.concat(head, F.coalesce("text", F.lit("")), flow, F.when(i % 8 == 7, "").otherwise(fence), note).alias("page"))
 
 
-PAGES = f"""pages_md AS (SELECT doc_id, '---\ntitle: T' || doc_id || CASE WHEN doc_id % 10 <> 3 THEN '\nslug: t-' || doc_id ELSE '' END || '\nconfidence: '
+PAGES = f"""pages_md AS (SELECT doc_id, '---\n' || CASE WHEN doc_id % 6 <> 1 THEN 'key: k-' || doc_id || '\n' ELSE '' END || 'title: T' || doc_id || CASE WHEN doc_id % 10 <> 3 THEN '\nslug: t-' || doc_id ELSE '' END || '\nconfidence: '
   || CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'HIGH' END || '\n---\n\n## Summary\n\n' || coalesce(text, '')
-  || CASE WHEN doc_id % 4 <> 0 THEN '\n\n## Main flow\n\n1. first step of ' || coalesce(source, 'none') || '\n2. second step' ELSE '' END
-  || CASE WHEN doc_id % 8 = 7 THEN '' ELSE '\n\n---\n\n{FENCE_OPEN} key=' || doc_id || ' -->\ncommit: c' || (doc_id % 9) || '\n{FENCE_CLOSE}\n' END
+  || CASE WHEN doc_id % 4 <> 0 THEN CASE WHEN doc_id % 3 = 0 THEN '\n\n##  Main flow \n\n1. first step of ' ELSE '\n\n## Main flow\n\n1. first step of ' END || coalesce(source, 'none') || '\n2. second step' ELSE '' END
+  || CASE WHEN doc_id % 8 = 7 THEN '' ELSE '\n\n---\n\n{FENCE_OPEN} key=' || doc_id || ' -->\ncommit: c' || (doc_id % 9) || '\n{FENCE_CLOSE}\n' || CASE WHEN doc_id % 16 = 9 THEN '{FENCE_OPEN} -->again{FENCE_CLOSE}\n' ELSE '' END END
   || CASE WHEN doc_id % 5 = 0 THEN 'Team note ' || doc_id ELSE '' END AS page FROM documents)"""
 
 
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drafts of use cases: the assistant's turns; some fields are blank."""
+    """Drafts of use cases: the assistant's turns; some fields are blank, null or empty."""
     c, i, text = table(spark, sf_dir, "conversations").where("role = 'assistant'"), F.col("conv_id"), F.coalesce("text", F.lit(""))
-    dash = F.when(i % 11 == 0, "—").otherwise("")
+    dash = F.when(i % 11 == 0, "\u2014").otherwise("")
+    pair = lambda a, b, n, m: F.struct(F.lit(n).alias(a), F.concat(F.lit(m), i).alias(b))
+    steps = F.transform(F.split(text, r"\. "), lambda s: F.struct(s.alias("step"), F.when(i % 6 == 1, F.concat(F.lit("note "), i)).alias("footnote")))
     return c.select(
-        "conv_id", "turn", F.when(F.col("turn") % 5 == 0, " ").otherwise(F.concat(F.lit("Title "), i)).alias("title"), F.when(i % 7 == 0, "  ").otherwise(F.concat(text, dash)).alias("summary"),
-        F.when(F.col("turn") % 3 != 0, F.lit("Visitor")).alias("actor"), F.when(i % 4 != 0, F.lit("A form is sent")).alias("trigger"), F.split(text, r"\. ").alias("steps"),
-        F.when(i % 6 == 0, F.lit("")).otherwise("A row is stored").alias("postcondition"), F.when(i % 5 == 0, "orders,API").when(i % 5 == 1, "sql").otherwise("orders").alias("tags"), F.when(i % 9 == 0, "HIGH").when(i % 9 == 1, "").otherwise("high").alias("confidence"),
+        "conv_id", "turn", F.when(F.col("turn") % 5 == 0, " ").otherwise(F.concat(F.lit("Title "), i)).alias("title"), F.when(i % 7 == 0, "  ").otherwise(text).alias("summary"),
+        F.when(F.col("turn") % 3 != 0, F.lit("Visitor")).alias("actor"), F.when(i % 4 != 0, F.lit("A form is sent")).alias("trigger"), F.array(F.lit("Signed in"), F.concat(F.lit("At "), i)).alias("preconditions"),
+        F.when(i % 13 != 5, steps).alias("main_flow"), F.array(pair("label", "description", "Bad", "The file is missing")).alias("alternate_flows"), F.when(i % 6 != 0, F.array(F.lit("A row is stored"))).alias("postconditions"),
+        F.array(F.struct(F.concat(F.lit("Cache is cleared"), dash).alias("rule"), F.when(i % 5 == 2, "see code").alias("footnote"))).alias("business_rules"), F.array(pair("label", "gwt", "Happy", "Given ")).alias("test_scenarios"),
+        F.array(F.struct(F.concat(F.lit("t-"), i).alias("slug"), F.lit("Other page").alias("title"))).alias("related"), F.when(i % 5 == 0, F.array(F.lit("orders"), F.lit("JSON"))).when(i % 5 == 1, F.array(F.lit("sql"), F.lit("api"))).when(i % 5 == 2, F.array(F.lit("orders"))).alias("tags"),
+        F.when(i % 9 == 0, "HIGH").when(i % 9 == 1, "").when(i % 9 != 2, "high").alias("confidence"), F.lit("clear code").alias("confidence_reason"),
     )
 
 
 DRAFTS = """drafts AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN ' ' ELSE 'Title ' || conv_id END AS title,
-  CASE WHEN conv_id % 7 = 0 THEN '  ' ELSE coalesce(text, '') || CASE WHEN conv_id % 11 = 0 THEN chr(8212) ELSE '' END END AS summary,
-  CASE WHEN turn % 3 <> 0 THEN 'Visitor' END AS actor, CASE WHEN conv_id % 4 <> 0 THEN 'A form is sent' END AS trigger_, string_split(coalesce(text, ''), '. ') AS steps,
-  CASE WHEN conv_id % 6 = 0 THEN '' ELSE 'A row is stored' END AS postcondition, CASE conv_id % 5 WHEN 0 THEN 'orders,API' WHEN 1 THEN 'sql' ELSE 'orders' END AS tags,
-  CASE conv_id % 9 WHEN 0 THEN 'HIGH' WHEN 1 THEN '' ELSE 'high' END AS confidence FROM conversations WHERE role = 'assistant')"""
+  CASE WHEN conv_id % 7 = 0 THEN '  ' ELSE coalesce(text, '') END AS summary,
+  CASE WHEN turn % 3 <> 0 THEN 'Visitor' END AS actor, CASE WHEN conv_id % 4 <> 0 THEN 'A form is sent' END AS trigger_, ['Signed in', 'At ' || conv_id] AS preconditions,
+  CASE WHEN conv_id % 13 <> 5 THEN list_transform(string_split(coalesce(text, ''), '. '), lambda s: {'step': s, 'footnote': CASE WHEN conv_id % 6 = 1 THEN 'note ' || conv_id END}) END AS main_flow,
+  [{'label': 'Bad', 'description': 'The file is missing' || conv_id}] AS alternate_flows, CASE WHEN conv_id % 6 <> 0 THEN ['A row is stored'] END AS postconditions,
+  [{'rule': 'Cache is cleared' || CASE WHEN conv_id % 11 = 0 THEN chr(8212) ELSE '' END, 'footnote': CASE WHEN conv_id % 5 = 2 THEN 'see code' END}] AS business_rules,
+  [{'label': 'Happy', 'gwt': 'Given ' || conv_id}] AS test_scenarios, [{'slug': 't-' || conv_id, 'title': 'Other page'}] AS related,
+  CASE conv_id % 5 WHEN 0 THEN ['orders', 'JSON'] WHEN 1 THEN ['sql', 'api'] WHEN 2 THEN ['orders'] END AS tags,
+  CASE conv_id % 9 WHEN 0 THEN 'HIGH' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'high' END AS confidence, 'clear code' AS confidence_reason FROM conversations WHERE role = 'assistant')"""
 
 
 def wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
