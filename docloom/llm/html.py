@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
-from .common import slices
+from .common import mapped
 
 # Common function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -182,14 +184,14 @@ def classify(found: list[Block]) -> list[bool]:
     """Whether each block is main text."""
     for b in found:
         n, links = len(b.text), b.links / max(1, len(b.text.replace(" ", "")))
-        if b.bad or "©" in b.text and not b.article or links > LINKS_HIGH and not (b.article and b.tag in ("p", "h1")):
+        if b.bad or "©" in b.text or links > LINKS_HIGH:
             b.label = "bad"
             continue
         words = _WORD.findall(b.text.lower())
         stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
         if n < SHORT:
             b.label = "short"
-        elif stops >= STOPS_HIGH or b.article:
+        elif stops >= STOPS_HIGH:
             b.label = "good" if n >= LONG else "near"
         else:
             b.label = "near" if stops >= STOPS_LOW else "short" if b.tag == "p" else "bad"
@@ -208,8 +210,8 @@ def classify(found: list[Block]) -> list[bool]:
         up, down = x is not None and x.label == "good", y is not None and y.label == "good"
         if b.label in ("good", "bad"):
             out.append(b.label == "good")
-        elif b.article or none:
-            out.append(True)  # in the article and not bad by place or links; or the only text there is
+        elif none:
+            out.append(True)  # the only text there is
         elif b.label == "near":
             out.append(up or down)
         else:  # short: between good ones, next to a good one in the same element, or the heading of one
@@ -225,18 +227,16 @@ def main_text(page: str | None) -> str:
 
 
 def extract(df: DataFrame, page: str = "html", out: str = "text") -> DataFrame:
-    """``df`` without ``page`` and with its main text in ``out`` (empty if there is none). No shuffle."""
-    import pyarrow as pa
-
-    rest = [c for c in df.columns if c != page]
+    """``df`` without ``page`` and with its main text in ``out`` (empty if there is none), in place of a column of that name. No shuffle."""
+    from pyspark.sql import functions as F
 
-    def run(batches):
-        for batch in slices(batches, page):
-            texts = [main_text(x) for x in batch.column(len(rest)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*rest, out])
+    @F.arrow_udf("string")
+    def run(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in pages:
+            yield pc.fill_null(mapped(batch, pa.string(), main_text), "")
 
-    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(out, T.StringType())])
-    return df.select(*rest, page).mapInArrow(run, schema)
+    text = df.withColumn(out, run(F.col(page)))
+    return text if page == out else text.drop(page)
 
 
 def op3_html(spark, sf_dir: str) -> DataFrame:
