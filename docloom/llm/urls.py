@@ -25,7 +25,7 @@ from .common import checkpoint
 
 #: (verdict, host and path) of the given rules.
 GIVEN_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.002, 0.8, 4
+MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.8
 
 
 def parsed(url: Column) -> tuple[Column, Column]:
@@ -56,26 +56,41 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(F.transform(F.concat(labels, parts), lambda x: F.concat(F.lit("h:"), x)), F.transform(paths, lambda x: F.concat(F.lit("p:"), x))))
 
 
-def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, most_tokens: int = MAX_TOKENS) -> DataFrame:
+def _merged(tokens_of: DataFrame) -> DataFrame:
+    """(token, n, stands): of tokens (row, token) that stand in the same rows, one stands for all.
+
+    Mining takes time by the subsets of what comes together: a path that many rows share
+    counts as one token. Rows are compared by two sums of their hashes.
+    """
+    mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), "row").cast("decimal(38,0)"))
+    seen = tokens_of.groupBy("token").agg(F.count("*").alias("n"), mark(1).alias("s1"), mark(2).alias("s2"))
+    least = seen.groupBy("n", "s1", "s2").agg(F.min("token").alias("stands"))
+    return seen.join(least, ["n", "s1", "s2"]).select("token", "n", "stands")
+
+
+def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (id, anchor, items, label, confidence, support) from ``labelled`` (items, label).
 
     Tokens below the support are left out before mining, as no rule can have them; the
-    count of the rest is bounded by the tokens of a URL over the support.
+    count of the rest is bounded by the tokens of a URL over the support. Tokens that
+    always come together are mined as one, and a rule names the one that stands for them.
     """
     from pyspark.ml.fpm import FPGrowth
 
-    rows = labelled.count()
-    least = max(1.0, rows * support)
-    common = labelled.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    common = checkpoint(common)
-    counted = labelled.select(F.monotonically_increasing_id().alias("row"), "items", "label")
-    counted = checkpoint(counted)
-    kept = counted.select("row", F.explode("items").alias("token")).join(common, "token").groupBy("row").agg(F.collect_set("token").alias("kept"))
-    baskets = counted.join(kept, "row").select(F.concat("kept", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
+    schema = "id long, anchor string, items array<string>, label string, confidence double, support double"
+    counted = checkpoint(labelled.select(F.monotonically_increasing_id().alias("row"), "items", "label"))
+    rows = counted.count()
     if not rows:
-        return labelled.sparkSession.createDataFrame([], "id long, anchor string, items array<string>, label string, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, predictionCol="unused").fit(baskets)
-    rules = model.associationRules.where(F.element_at("consequent", 1).startswith("label:") & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit("label:"))) & (F.size("antecedent") <= most_tokens))
+        return labelled.sparkSession.createDataFrame([], schema)
+    every = counted.select("row", F.explode(F.array_distinct("items")).alias("token"))
+    common = every.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= max(1.0, rows * support))
+    common = checkpoint(_merged(every.join(common.select("token"), "token")).where("token = stands"))
+    kept = every.join(common, "token").groupBy("row").agg(F.collect_set("token").alias("kept"))
+    baskets = counted.join(kept, "row").select(F.concat("kept", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
+    # supports are shares of all rows, also of those without a common token
+    share = support * rows / max(1, baskets.count())
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, share), minConfidence=confidence, predictionCol="unused").fit(baskets)
+    rules = model.associationRules.where(F.element_at("consequent", 1).startswith("label:") & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit("label:"))))
     rules = rules.select(F.sort_array("antecedent").alias("items"), F.substring_index(F.element_at("consequent", 1), ":", -1).alias("label"), "confidence", "support")
     rules = checkpoint(rules.withColumn("id", F.xxhash64("items", "label")))
     # a rule is idle if the rule without one of its tokens says the same with no less confidence
@@ -97,16 +112,16 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=GIVEN_RULES, default: str = "allow", labels: DataFrame | None = None) -> DataFrame:
     """(key, host, path, rule, verdict, confidence) for each row of ``pages``.
 
-    ``labels`` (url, label) train the method. By default all URLs do: with the verdict of
-    their given rule, or ``default`` where none fits, so that what is common among the
-    blocked and rare elsewhere makes the rules.
+    ``labels`` (url, label) train the method. By default the URLs that a given rule
+    decides do, with its verdict: mined rules carry the list over to URLs that it does
+    not name. Where no mined rule fits either, the verdict is ``default``.
     """
     host, path = parsed(F.col(url))
     rows = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("given", given_rule(F.col("host"), F.col("path"), rules)).withColumn("items", tokens(F.col("host"), F.col("path"))).withColumn("row", F.monotonically_increasing_id())
     rows = checkpoint(rows)
     if labels is None:
-        labelled = rows.select("items", F.coalesce("given.verdict", F.lit(default)).alias("label"))
+        labelled = rows.where("given is not null").select("items", F.col("given.verdict").alias("label"))
     else:
         lh, lp = parsed(F.col("url"))
         labelled = labels.where("label is not null").select(tokens(lh, lp).alias("items"), "label")
