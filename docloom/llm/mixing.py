@@ -3,13 +3,12 @@
 Texts are packed into blocks of ``block_words`` words (fewer in a source of less than
 64 blocks) along each source: documents
 stand one after the other in a pseudorandom order and a block may span several.
-The mix is a sequence of slots of one block each, dealt over output shards. Which
-source a slot takes is a multinomial draw without replacement: a pseudorandom
-permutation of all slots, in which each source owns as many numbers as its target
-has blocks, so the counts in a shard are multinomial about the shares and the totals
-meet the targets. The n-th slot of a source takes block permutation(n mod blocks) of
-it, so a block comes no more than once in a pass over its source. Slots and blocks
-meet in a join by (source, block).
+The mix is a sequence of slots of one block each, dealt over output shards. Each
+slot draws its source by the targets' shares, so the source counts of a shard are
+multinomial; slots that a source drew beyond its target go to the sources that drew
+less, so the totals meet the targets. The n-th slot of a source takes block
+permutation(n mod blocks) of it, so a block comes no more than once in a pass over its
+source. Slots and blocks meet in a join by (source, block).
 
 Permutations are swap-or-not shuffles keyed by XXH64: bijections on exactly as many
 numbers as there are, computed by each row for itself. Offsets of documents in their
@@ -121,20 +120,48 @@ class Mix:
         self.slots = self._slots(docs.sparkSession, shard_slots, seed)
 
     def _slots(self, spark, shard_slots: int, seed: int) -> DataFrame:
-        """(shard, slot, no, turn, block): a row for each slot of the mix."""
+        """(shard, slot, no, turn, block): a row for each slot of the mix.
+
+        Each slot draws its source by the targets' shares, so the counts of a shard are
+        multinomial. A source's slots beyond its target, taken at even steps, go to the
+        sources that drew less than theirs; these are of the order of the root of all slots.
+        """
         total = self.sources.agg(F.sum("takes")).first()[0] or 0
+        owner = self.sources.where("takes > 0").select("no", "first", "takes", "blocks")
         slot = spark.range(0, total).select(F.col("id").alias("slot"), F.floor(F.col("id") / shard_slots).alias("shard"))
-        slot = slot.withColumn("drawn", permuted(F.col("slot"), F.lit(max(total, 1)), F.lit(seed)))
-        # the source that owns the drawn number: ranges are cut at multiples of a width, of which there are LOOKUPS at most
+        slot = slot.withColumn("at", F.pmod(F.xxhash64(F.lit("draw"), F.lit(seed), "slot"), F.lit(max(total, 1))))
+        drawn = self._owned(slot, owner.select("no", "first", F.col("takes").alias("many")), total)
+        counts = checkpoint(drawn.groupBy("no", "shard").agg(F.count("*").alias("slots")))
+        before = Window.partitionBy("no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        ahead = counts.select("no", "shard", F.coalesce(F.sum("slots").over(before), F.lit(0)).alias("ahead"))
+        within = Window.partitionBy("no", "shard").orderBy("slot")
+        drawn = drawn.join(ahead, ["no", "shard"]).select("shard", "slot", "no", (F.col("ahead") + F.row_number().over(within) - 1).alias("n"))
+        got = owner.join(counts.groupBy("no").agg(F.sum("slots").alias("got")), "no", "left").select("no", "takes", F.coalesce("got", F.lit(0)).alias("got"))
+        order = Window.orderBy("no").rowsBetween(Window.unboundedPreceding, -1)  # a row for each source
+        spare = F.greatest(F.col("got") - F.col("takes"), F.lit(0))
+        lack = F.greatest(F.col("takes") - F.col("got"), F.lit(0))
+        plan = checkpoint(got.select("no", "takes", "got", lack.alias("many"), F.coalesce(F.sum(spare).over(order), F.lit(0)).alias("spare"), F.coalesce(F.sum(lack).over(order), F.lit(0)).alias("first")))
+        moved = plan.agg(F.sum("many")).first()[0] or 0
+        # what a source has too many is taken at even steps, so that no shard loses more of it than others
+        many = F.greatest(F.col("got") - F.col("takes"), F.lit(0))
+        placed = drawn.join(plan.select("no", many.alias("many"), "spare", F.expr("got div greatest(got - takes, 1)").alias("step")), "no")
+        gone = F.least("many", F.expr("n div step"))
+        is_over = (F.col("n") % F.col("step") == F.col("step") - 1) & (F.expr("n div step") < F.col("many"))
+        kept = placed.where(~is_over).select("shard", "slot", "no", (F.col("n") - gone).alias("n"))
+        over = placed.where(is_over).select("shard", "slot", (F.col("spare") + F.expr("n div step")).alias("at"))
+        given = self._owned(over, plan.where("many > 0").select("no", "first", "many", "got"), moved).select("shard", "slot", "no", (F.col("got") + F.col("at") - F.col("first")).alias("n"))
+        n, blocks = F.col("n"), F.col("blocks")
+        turn = F.floor(n / blocks)
+        block = permuted(F.pmod(n, blocks), blocks, F.lit(seed), F.col("no"), turn)
+        return kept.union(given).join(owner.select("no", "blocks"), "no").select("shard", "slot", "no", turn.alias("turn"), block.alias("block"))
+
+    @staticmethod
+    def _owned(numbers: DataFrame, ranges: DataFrame, total: int) -> DataFrame:
+        """``numbers`` (at, ...) with the row of ``ranges`` (no, first, many) that each is in: ranges are cut at multiples of a width, of which there are LOOKUPS at most."""
         width = F.lit(-(-max(total, 1) // LOOKUPS))
-        owner = self.sources.where("takes > 0").select("no", "first", "takes", "blocks")
-        owner = owner.withColumn("cut", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor((F.col("first") + F.col("takes") - 1) / width))))
-        slot = slot.withColumn("cut", F.floor(F.col("drawn") / width))
-        drawn = slot.join(owner, "cut").where((F.col("drawn") >= F.col("first")) & (F.col("drawn") < F.col("first") + F.col("takes")))
-        n = F.col("drawn") - F.col("first")
-        turn = F.floor(n / F.col("blocks"))
-        block = permuted(F.pmod(n, F.col("blocks")), F.col("blocks"), F.lit(seed), F.col("no"), turn)
-        return drawn.select("shard", "slot", "no", turn.alias("turn"), block.alias("block"))
+        cut = ranges.withColumn("cut", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor((F.col("first") + F.col("many") - 1) / width))))
+        found = numbers.withColumn("cut", F.floor(F.col("at") / width)).join(cut, "cut")
+        return found.where((F.col("at") >= F.col("first")) & (F.col("at") < F.col("first") + F.col("many"))).drop("cut")
 
     def shards(self) -> DataFrame:
         """(shard, no, slots): the draw, counted."""
