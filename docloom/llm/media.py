@@ -18,12 +18,14 @@ a continuity counter is counted and the unit that it hits is marked broken.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import mapped
 
 PACKET, SYNC, PAT_PID = 188, 0x47, 0
 PMT_PID, DATA_PID, PROGRAM, PRIVATE_PES, PRIVATE_STREAM_1 = 0x1000, 0x100, 1, 0x06, 0xBD
@@ -149,10 +151,15 @@ def demux_bytes(media: bytes) -> Demuxed:
                 streams[where & 0x1FFF] = kind
                 i += 5 + (info & 0xFFF)
 
+    def in_step(i: int) -> bool:
+        return media[i] == SYNC and (i + PACKET >= end or media[i + PACKET] == SYNC)
+
     at = 0
     while at + PACKET <= end:
-        if media[at] != SYNC:  # out of step: go on at the next sync byte
+        if not in_step(at):  # go on at the next sync byte that another one follows a packet later
             back = media.find(SYNC, at + 1)
+            while 0 <= back and not in_step(back):
+                back = media.find(SYNC, back + 1)
             step = (back if back >= 0 else end) - at
             out.lost_bytes += step
             at += step
@@ -199,6 +206,8 @@ def demux_bytes(media: bytes) -> Demuxed:
                 open_units[pid][0].append(body)
             else:
                 out.lost_bytes += len(body)
+        else:
+            out.lost_bytes += len(body)  # of no stream that a table names
     out.lost_bytes += end - at
     for pid in list(open_units):
         close(pid)
@@ -208,37 +217,32 @@ def demux_bytes(media: bytes) -> Demuxed:
 
 
 def mux(df: DataFrame, payload: str, out: str = "media") -> DataFrame:
-    """``df`` with a binary column ``out``: ``payload`` as a transport stream (null: null)."""
-    import pyarrow as pa
-
-    names = [*df.columns, out]
+    """``df`` with a binary column ``out``, in place of one of that name: ``payload`` as a transport stream (null: null)."""
 
-    def run(batches):
-        for batch in slices(batches, payload):
-            media = [None if x is None else mux_bytes(x) for x in batch.column(names.index(payload)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(media, pa.binary())], names=names)
+    @F.arrow_udf("binary")
+    def run(payloads: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in payloads:
+            yield mapped(batch, pa.binary(), mux_bytes)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
+    return df.withColumn(out, run(F.col(payload)))
 
 
 def demux(df: DataFrame, media: str = "media", out: str = "stream") -> DataFrame:
-    """``df`` with a struct column ``out``: the payload, counts, and the index of access units with timestamps."""
-    import pyarrow as pa
+    """``df`` with a struct column ``out``, in place of one of that name: the payload, counts, and the index of access units with timestamps."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    names, kind = [*df.columns, out], to_arrow_type(_STREAM)
+    kind = to_arrow_type(_STREAM)
 
-    def row(x: bytes | None) -> dict | None:
-        if x is None:
-            return None
+    def row(x: bytes) -> dict:
         d = demux_bytes(x)
         return {"payload": d.payload, "units": [dict(zip(_UNIT.names, u, strict=True)) for u in d.units]} | {k: getattr(d, k) for k in _COUNTS}
 
-    def run(batches):
-        for batch in slices(batches, media):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([row(x) for x in batch.column(names.index(media)).to_pylist()], kind)], names=names)
+    @F.arrow_udf(_STREAM)
+    def run(streams: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in streams:
+            yield mapped(batch, kind, row)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, _STREAM)]))
+    return df.withColumn(out, run(F.col(media)))
 
 
 def padded(payload: F.Column, unit: int = 64) -> F.Column:
