@@ -149,8 +149,9 @@ def derivatives(df: DataFrame, keys: list[str], warc: str = "warc") -> DataFrame
             yield pa.RecordBatch.from_arrays([*kept.columns[:-1], made], names=[*(f"k{i}" for i in range(len(keys))), "made"])
 
     schema = T.StructType([*(T.StructField(f"k{i}", df.schema[k].dataType) for i, k in enumerate(keys)), T.StructField("made", _ROW)])
-    out = df.select(*keys, F.col(warc).alias("__warc")).mapInArrow(run, schema)
-    return out.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), "made.*")
+    out = df.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(warc).alias("__warc")).mapInArrow(run, schema)
+    # a key that is called like a field has an underscore before its name
+    return out.select(*(F.col(f"k{i}").alias(f"_{k}" if k.lower() in FIELDS else k) for i, k in enumerate(keys)), "made.*")
 
 
 def responses(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
