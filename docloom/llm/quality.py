@@ -18,13 +18,15 @@ mean; without any label of both kinds every score is 0.5.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, texts_of
 
 #: Labelled documents that the model is fitted to, at most; which, the hash of their id decides.
 MAX_TRAINING_DOCUMENTS = 4_000
@@ -221,12 +223,10 @@ def fit(n: np.ndarray, words: np.ndarray, x: np.ndarray, label: np.ndarray, step
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MAX_TRAINING_DOCUMENTS) -> Model:
     """A model fitted to ``most`` labelled documents at most. Features are computed where documents are read."""
-    import pyarrow as pa
-
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.avg(label) >= 0.5).cast("int").alias("label")).orderBy(F.xxhash64("key"), "key").limit(most)
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             if not batch.num_rows:
                 continue
             n, words, x = line_features([t or "" for t in batch.column(1).to_pylist()])
@@ -241,19 +241,20 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(rows["n"].to_numpy(), np.frombuffer(b"".join(rows["words"]), np.int64), np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, len(NAMES)), rows["label"].to_numpy())
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with a double column ``out``. No shuffle."""
-    import pyarrow as pa
-    from pyspark.sql import types as T
+def scorer(model: Model):
+    """A function from a column of texts to the column of their scores; nothing but texts goes to Python and nothing but scores comes back."""
 
-    names = [*docs.columns, out]
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array(np.concatenate([np.zeros(0), *(model.score(texts) for texts in texts_of(batch))]))
 
-    def run(batches):
-        for batch in slices(batches, text):
-            got = model.score([t or "" for t in batch.column(names.index(text)).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=names)
+    return run
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+
+def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` with a double column ``out``, in place of one that it has. No shuffle."""
+    return docs.withColumn(out, scorer(model)(F.col(text)))
 
 
 def held_out(key: F.Column) -> F.Column:
