@@ -21,11 +21,14 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, free_name, slices
+from .common import BROADCAST_ROWS, Scratch, checkpoint, slices, texts_of
 from .components import connected_components
 
 #: Fingerprints in a tile at most (a tile pair of two such tiles takes a few MB in its task).
@@ -149,44 +152,46 @@ def _compare(radius: int):
     return run
 
 
-def tile_links(distinct: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Edges (src, dst) between ``rep`` of distinct fingerprints (fp, rep): a spanning forest for each compared tile pair.
+def paired_tiles(rows: DataFrame, cell: tuple[str, ...], near: list[tuple[int, ...]], tile_rows: int, by: tuple[str, ...]) -> DataFrame:
+    """``rows`` once for each tile pair that they are in: columns ``pair`` and ``side`` (0 or 1).
 
-    The driver gets the row counts of the tiles by population count (at most 33 x 33
-    numbers); the tile pairs that remain are joined to the rows.
+    ``cell`` names integer columns; a cell is cut into tiles of about ``tile_rows`` rows by
+    the hash of ``by`` and meets the cells at the offsets ``near`` (itself among them). The
+    cells are few by construction (population counts, bands of sizes), so their table of
+    counts and neighbours is broadcast; the tile pairs are never listed.
     """
-    spark = distinct.sparkSession
+    counts = rows.groupBy(*cell).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"))
+    counts = checkpoint(counts)
+    offsets = F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(o, cell, strict=True))) for o in near))
+    met = counts.select(*cell, F.col("tiles").alias("own"), F.explode(offsets).alias("o")).select(*cell, "own", *((F.col(c) + F.col("o")[c]).alias(f"to_{c}") for c in cell))
+    there = counts.select(*(F.col(c).alias(f"to_{c}") for c in cell), "tiles")
+    met = met.join(there, [f"to_{c}" for c in cell]).groupBy(*cell, "own").agg(F.collect_list(F.struct(F.struct(*(F.col(f"to_{c}").alias(c) for c in cell)).alias("cell"), "tiles")).alias("others"))
+    at = rows.join(F.broadcast(met), list(cell)).withColumn("tile", F.pmod(F.xxhash64(*by), F.col("own")).cast("int"))
+    at = at.select(*rows.columns, F.struct(F.struct(*cell).alias("cell"), "tile").alias("here"), F.explode("others").alias("other"))
+    at = at.select(*rows.columns, "here", F.explode(F.transform(F.sequence(F.lit(0), F.col("other.tiles") - 1), lambda j: F.struct(F.col("other.cell").alias("cell"), j.alias("tile")))).alias("there"))
+    return at.select(*rows.columns, F.struct(F.least("here", "there").alias("a"), F.greatest("here", "there").alias("b")).alias("pair"), F.when(F.col("here") <= F.col("there"), 0).otherwise(1).alias("side"))
+
+
+def tile_links(distinct: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Edges (src, dst) between ``rep`` of distinct fingerprints (fp, rep): a spanning forest for each compared tile pair."""
     high, low = F.bit_count(F.shiftrightunsigned("fp", 32)), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    cells = distinct.select("fp", "rep", (high * 33 + low).cast("int").alias("cell"))
-    counts = {r["cell"]: r["n"] for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    split = {c: -(-n // tile_rows) for c, n in counts.items()}
-    pairs, number = [], 0
-    for c in sorted(split):
-        for d in sorted(split):
-            if c <= d and abs(c // 33 - d // 33) + abs(c % 33 - d % 33) <= radius:
-                for i in range(split[c]):
-                    for j in range(i if c == d else 0, split[d]):
-                        same = (c, i) == (d, j)
-                        pairs += [(c, i, number, 0)] + [(d, j, number, 1)] * (not same)
-                        number += 1
-    schema = "cell int, tile int, pair long, side int"
-    listed = spark.createDataFrame(pairs, schema)
-    sizes = spark.createDataFrame(list(split.items()), "cell int, tiles int")
-    tiles = cells.join(F.broadcast(sizes), "cell").select("fp", "rep", "cell", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("tile"))
-    sent = tiles.join(listed, ["cell", "tile"]).select("pair", "side", "fp", "rep")
-    return sent.groupBy("pair").applyInArrow(_compare(radius), "src long, dst long")
+    near = [(h, w) for h in range(-radius, radius + 1) for w in range(-radius, radius + 1) if abs(h) + abs(w) <= radius]
+    sent = paired_tiles(distinct.select("fp", "rep", high.alias("high"), low.alias("low")), ("high", "low"), near, tile_rows, ("fp",))
+    return sent.select("pair", "side", "fp", "rep").groupBy("pair").applyInArrow(_compare(radius), "src long, dst long")
 
 
 def near_duplicates(prints: DataFrame, radius: int = 3, key: str = "key") -> DataFrame:
-    """``prints`` (key, fp) with ``component_id``: the least key of all rows reachable by links of at most ``radius`` bits.
+    """``prints`` (key, fp) with ``component_id``: the least key (of any type that has an order) of all rows reachable by links of at most ``radius`` bits.
 
     ``prints`` is read more than once; pass a checkpoint.
     """
-    distinct = checkpoint(prints.groupBy("fp").agg(F.min(key).cast("long").alias("rep")))
-    edges = tile_links(distinct.where("rep is not null"), radius)
-    groups = connected_components(edges)
-    found = distinct.join(groups, distinct["rep"] == groups["id"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(found, "fp")
+    distinct = checkpoint(prints.groupBy("fp").agg(F.min(key).alias("least")).withColumn("rep", F.monotonically_increasing_id()))
+    groups = checkpoint(connected_components(tile_links(distinct.select("fp", "rep"), radius)))
+    joined = distinct.join(groups, distinct["rep"] == groups["id"])
+    named = joined.groupBy("component").agg(F.min("least").alias("whole"))
+    found = joined.join(named, "component").select("fp", F.col("whole").alias("component_id"))
+    alone = distinct.join(groups, distinct["rep"] == groups["id"], "left_anti").select("fp", F.col("least").alias("component_id"))
+    return prints.join(found.union(alone), "fp")
 
 
 #: Longs in a sketch, the similarity that links, and standard deviations above the mean at it within which sketches are candidates.
@@ -215,19 +220,17 @@ def sketch_words(text: str, shingle: int = 5, longs: int = SKETCH) -> tuple[int,
     return len(h), out.tobytes()
 
 
-def with_sketch(df: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
-    """``df`` with columns ``size`` (distinct shingles) and ``sketch`` (binary), under free names if these are taken. No shuffle."""
-    import pyarrow as pa
+def sketched(text):
+    """A struct column of a column of texts: the number of distinct five-word shingles, the sketch and its population count. Only texts go to Python."""
 
-    size, sketch = free_name(df, "size"), free_name(df, "sketch")
-    names = [*df.columns, size, sketch]
+    @F.arrow_udf("struct<size:long,sketch:binary,ones:int>")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            got = [sketch_words(x) for part in texts_of(batch) for x in part]
+            ones = [int.from_bytes(g[1], "little").bit_count() for g in got]
+            yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary()), pa.array(ones, pa.int32())], names=["size", "sketch", "ones"])
 
-    def run(batches):
-        for batch in slices(batches, text):
-            got = [sketch_words(x or "", shingle) for x in batch.column(names.index(text)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], names=names)
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(size, T.LongType()), T.StructField(sketch, T.BinaryType())]))
+    return run(text)
 
 
 def sketch_radius(similarity: float = SIMILARITY, longs: int = SKETCH) -> int:
@@ -323,68 +326,83 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - F.lit(1e-9)).select("src", "dst")
 
 
-def _sketch_tiles(cells: DataFrame, radius: int, similarity: float, tile_rows: int, forest: bool) -> DataFrame:
-    """Pairs (src, dst) of ``rep`` that are candidates, of rows (size, sketch, rep, comp) of different comp.
+def _sketch_tiles(rows: DataFrame, radius: int, similarity: float, tile_rows: int, forest: bool) -> DataFrame:
+    """Pairs (src, dst) of ``rep`` that are candidates, of rows (size, sketch, ones, rep, comp) of different comp.
 
-    The same tiled comparison: a tile holds sketches of like size (sizes within the
-    similarity are in the same or neighbouring tiles of sizes), and the driver gets the
-    row count of each of at most some hundred sizes of tiles.
+    The same tiled comparison: a cell holds sketches of like size and like population
+    count. Sizes within the similarity are in the same or neighbouring bands, counts
+    within the radius too, so all other tile pairs are skipped.
     """
     import math
 
-    spark = cells.sparkSession
     band = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / math.log(1 / similarity)).cast("int")
-    cells = cells.withColumn("cell", band)
-    split = {r["cell"]: -(-r["n"] // tile_rows) for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    pairs, number = [], 0
-    for c in sorted(split):
-        for d in (c, c + 1):
-            for i in range(split[c]):
-                for j in range(i if c == d else 0, split.get(d, 0)):
-                    pairs += [(c, i, number, 0)] + [(d, j, number, 1)] * ((c, i) != (d, j))
-                    number += 1
-    listed = spark.createDataFrame(pairs, "cell int, tile int, pair long, side int")
-    sizes = spark.createDataFrame(list(split.items()), "cell int, tiles int")
-    tiles = cells.join(F.broadcast(sizes), "cell").withColumn("tile", F.pmod(F.xxhash64("sketch", "rep"), F.col("tiles")).cast("int"))
-    sent = tiles.join(listed, ["cell", "tile"]).select("pair", "side", "size", "sketch", "rep", "comp")
-    return sent.groupBy("pair").applyInArrow(_compare_sketches(radius, similarity, forest), "src long, dst long")
-
-
-def similar_documents(rows: DataFrame, similarity: float = SIMILARITY, tile_rows: int = 8_192) -> DataFrame:
-    """(id, component) for all rows (id, text, size, sketch; materialised) that links of the Jaccard similarity join.
+    cells = rows.withColumn("band", band).withColumn("ones", F.floor(F.col("ones") / (radius + 1)).cast("int"))
+    sent = paired_tiles(cells, ("band", "ones"), [(b, o) for b in (-1, 0, 1) for o in (-1, 0, 1)], tile_rows, ("sketch", "rep"))
+    return sent.select("pair", "side", "size", "sketch", "rep", "comp").groupBy("pair").applyInArrow(_compare_sketches(radius, similarity, forest), "src long, dst long")
+
+
+def similar_documents(rows: DataFrame, texts, similarity: float = SIMILARITY, tile_rows: int = 8_192) -> DataFrame:
+    """(id, component) for all rows (id, size, sketch, ones; written) that links of the Jaccard similarity join.
 
+    ``texts`` makes (id, text) of a table of ids, with a row for each at least.
     Sketches only find candidates; a link counts if the sets of shingles have the
     similarity. Candidate groups are formed from forests; forest edges and pairs with a
     group's least row are verified first, which joins what is dense, and then all
     candidate pairs of rows that are still apart.
     """
-    radius = sketch_radius(similarity)
-    lone = checkpoint(rows.select("size", "sketch", F.col("id").alias("rep"), F.col("id").alias("comp")))
-    forest = checkpoint(_sketch_tiles(lone, radius, similarity, tile_rows, True).distinct())
-    groups = checkpoint(connected_components(forest))
-    sets = checkpoint(with_shingles(rows.join(groups, "id", "left_semi")))
+    radius, scratch = sketch_radius(similarity), Scratch(rows.sparkSession)
+    lone = rows.select("size", "sketch", "ones", F.col("id").alias("rep"), F.col("id").alias("comp"))
+    forest = scratch.table(_sketch_tiles(lone, radius, similarity, tile_rows, True).distinct())
+    groups = scratch.table(connected_components(forest))
+    sets = scratch.table(with_shingles(texts(groups.select("id")).dropDuplicates(["id"])))
     stars = forest.union(groups.where("id > component").select(F.col("component").alias("src"), F.col("id").alias("dst"))).distinct()
-    sure = checkpoint(verified(stars, sets, similarity))
-    joined = checkpoint(connected_components(sure))
-    apart = lone.join(groups, lone["rep"] == groups["id"], "left_semi").drop("comp").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    apart = checkpoint(apart.select("size", "sketch", "rep", F.coalesce("component", "rep").alias("comp")))
-    rest = verified(checkpoint(_sketch_tiles(apart, radius, similarity, tile_rows, False).distinct()), sets, similarity)
-    return connected_components(checkpoint(sure.union(rest)))
+    sure = scratch.table(verified(stars, sets, similarity))
+    joined = connected_components(sure).withColumnRenamed("id", "rep")
+    apart = lone.join(groups, lone["rep"] == groups["id"], "left_semi").drop("comp").join(joined, "rep", "left")
+    apart = scratch.table(apart.select("size", "sketch", "ones", "rep", F.coalesce("component", "rep").alias("comp")))
+    rest = scratch.table(verified(_sketch_tiles(apart, radius, similarity, tile_rows, False).distinct(), sets, similarity))
+    out = checkpoint(connected_components(sure.union(rest)))
+    scratch.drop(forest, groups, sets, sure, apart, rest)
+    return out
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near copies: that of the least key (null if a group has no other)."""
-    marked = with_sketch(docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).alias("text")))
-    marked = checkpoint(marked.withColumn("id", F.monotonically_increasing_id()))
+    """``docs`` with one row of each group of near copies: that of the least key (null if a group has no other).
+
+    Texts never travel with the links: rows are known by their key and two hashes of the
+    text, and what is dropped is taken away from ``docs`` at the end.
+    """
+    scratch, own = Scratch(docs.sparkSession), [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("2"), text).alias("t2")]
+    known = scratch.table(docs.select(F.col(key).alias("key"), *own, sketched(F.col(text)).alias("s")).select("key", "t1", "t2", "s.*"))
     # rows of one text are one; the sets of rows that differ decide
-    same = marked.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("2"), "text"))
-    texts = checkpoint(same.groupBy("t1", "t2", "size", "sketch").agg(F.min("id").alias("one")))
-    alone = marked.join(texts.select(F.col("one").alias("id")), "id", "left_semi").select("id", "text", "size", "sketch")
-    found = similar_documents(alone).withColumnRenamed("id", "one")
-    group = texts.join(found, "one", "left").select("t1", "t2", "size", "sketch", F.coalesce("component", "one").alias("component"))
-    ranked = same.join(group, ["t1", "t2", "size", "sketch"]).select("id", "key", "component")
-    first = ranked.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "id")).alias("least"))
-    return marked.join(first.select(F.col("least.id").alias("id")), "id", "left_semi").select("row.*")
+    texts = known.groupBy("t1", "t2").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("ones").alias("ones"))
+    texts = scratch.table(texts.withColumn("id", F.monotonically_increasing_id()))
+    ids = texts.select("t1", "t2", "id")
+
+    def text_of(wanted: DataFrame) -> DataFrame:
+        few = scratch.table(ids.join(wanted, "id"))
+        return docs.select(F.col(text).alias("text"), *own).join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, ["t1", "t2"]).select("id", "text")
+
+    found = similar_documents(texts.select("id", "size", "sketch", "ones"), text_of)
+    group = ids.join(found, "id", "left").select("t1", "t2", F.coalesce("component", "id").alias("component"))
+    rows = known.groupBy("key", "t1", "t2").agg(F.count("*").alias("times")).join(group, ["t1", "t2"])
+    place = F.struct(F.col("key").isNull().alias("none"), "key", "t1", "t2")
+    first = rows.groupBy("component").agg(F.min(place).alias("first"))
+    rows = rows.join(first, "component").withColumn("kept", place == F.col("first"))
+    rows = scratch.table(rows.where("not kept or times > 1").select("key", "t1", "t2", "kept"))
+    scratch.drop(known, texts)
+    row = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), *own)
+    small = rows.count() <= BROADCAST_ROWS
+
+    def these(kept: bool) -> DataFrame:
+        out = rows.where(F.col("kept") == kept).select(F.col("key").alias("k"), F.col("t1").alias("h1"), F.col("t2").alias("h2"))
+        return F.broadcast(out) if small else out
+
+    same = (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")) & F.col("key").eqNullSafe(F.col("k"))
+    # a kept row that is repeated stays once
+    again = row.join(these(True), same, "left_semi").dropDuplicates(["key", "t1", "t2"]).select("row.*")
+    every = rows.select(F.col("key").alias("k"), F.col("t1").alias("h1"), F.col("t2").alias("h2"))
+    return row.join(F.broadcast(every) if small else every, same, "left_anti").select("row.*").union(again)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
