@@ -293,6 +293,9 @@ def test_pipeline_stages(spark, tiny):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, tiny).count() == 0
     nulls = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (1, None, "en", "s", 0), (2, "words of a kind and more of it", None, None, None)], docs.schema)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, nulls, tiny).count() >= 0
+    assert set(corpus_pipeline.good_quality(spark, nulls, tiny).collect()) <= set(nulls.collect())
+    assert corpus_pipeline.without_repeated_lines(spark, nulls, tiny).count() == 4
+    assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, nulls, tiny).collect()) == [1, 2]
+    assert {r.doc_id for r in corpus_pipeline.mixed(spark, nulls, tiny).collect()} == {2}
+    assert sorted(r.n_tokens > 0 for r in corpus_pipeline.encoded(spark, nulls, tiny).collect()) == [False, False, False, True]
     assert frames[3].where(F.col("n_chars") != F.char_length("text")).count() == 0
