@@ -13,6 +13,7 @@ from .lines import op8_lines
 from .media import op9_media
 from .mixing import op4_mixing
 from .quality import op2_quality
+from .shards import op11_shards
 from .simhash import op7_simhash
 from .urls import op1_urls
 from .warc import op6_warc
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lines": op8_lines,
     "op9_media": op9_media,
     "op10_embeddings": op10_embeddings,
+    "op11_shards": op11_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {}
