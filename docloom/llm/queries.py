@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op5_bpe
 from .embeddings import op10_embeddings
 from .html import op3_html
+from .lexical import SEARCH_SQL, op12_search
 from .lines import op8_lines
 from .media import op9_media
 from .mixing import op4_mixing
@@ -30,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media": op9_media,
     "op10_embeddings": op10_embeddings,
     "op11_shards": op11_shards,
+    "op12_search": op12_search,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op12_search": SEARCH_SQL,
+}
