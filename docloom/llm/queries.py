@@ -12,6 +12,7 @@ from .html import op3_html
 from .lexical import SEARCH_SQL, op12_search
 from .lines import op8_lines
 from .media import op9_media
+from .mining import NEGATIVES_SQL, op13_negatives
 from .mixing import op4_mixing
 from .quality import op2_quality
 from .shards import op11_shards
@@ -32,8 +33,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embeddings": op10_embeddings,
     "op11_shards": op11_shards,
     "op12_search": op12_search,
+    "op13_negatives": op13_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op12_search": SEARCH_SQL,
+    "op13_negatives": NEGATIVES_SQL,
 }
