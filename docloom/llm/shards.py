@@ -38,16 +38,17 @@ UNFOLD = 4_096
 SLACK = 0.002
 
 
-def records(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, body, copy, virtual_slot): a row for each of ``docs``.
-
-    Equal rows are counted first and then unfolded in two steps, with a number each.
-    """
+def distinct_records(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, size, text_crc32, body, n): equal rows of ``docs`` are one row with their number."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("body"))
-    counted = rows.groupBy("doc_id", "size", "text_crc32", "body").agg(F.count("*").alias("n"))
-    once = counted.where("n = 1").drop("n").withColumn("copy", F.lit(0).cast("long"))
-    parts = counted.where("n > 1").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / UNFOLD))))
+    return rows.groupBy("doc_id", "size", "text_crc32", "body").agg(F.count("*").alias("n"))
+
+
+def records(distinct: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """(doc_id, size, text_crc32, body, copy, virtual_slot): distinct records unfolded in two steps, each copy with a number."""
+    once = distinct.where("n = 1").drop("n").withColumn("copy", F.lit(0).cast("long"))
+    parts = distinct.where("n > 1").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / UNFOLD))))
     ends = F.least(F.col("n"), (F.col("part") + 1) * UNFOLD) - 1
     again = parts.repartition("doc_id", "body", "part").withColumn("copy", F.explode(F.sequence(F.col("part") * UNFOLD, ends))).drop("n", "part")
     return once.unionByName(again).withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "body", "copy"), F.lit(slots)).cast("int"))
@@ -152,7 +153,7 @@ def sharded(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows = scratch.table(records(docs, key, text, slots))
+    rows = records(scratch.table(distinct_records(docs, key, text)), slots)
     sizes = scratch.table(slot_sizes(rows, slots))
     maps = maps or SlotMaps(spark, f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}")
     version = maps.rebalance(sizes, shards)
