@@ -122,16 +122,29 @@ def test_rules_by_counting(spark):
         items += ["a2", "a3"] if "a" in items else []  # always with a
         rows.append((items, "block" if {"a", "b"} <= set(items) and rng.random() < 0.95 or rng.random() < 0.1 else "allow"))
     df = spark.createDataFrame(rows, "items array<string>, label string")
-    rules = urls.mine(df, support=0.02, confidence=0.8).collect()
+    rules = urls.mine(df, support=0.02, confidence=0.6).collect()
     count = lambda need, label=None: sum(set(need) <= set(i) and label in (None, x) for i, x in rows)
     stands = {"a": "a", "a2": "a", "a3": "a"}
     seen = {tuple(sorted(c)) for n in range(1, 6) for c in itertools.combinations("abcdef", n)}
-    want = {(c, label): count(c, label) / count(c) for c in seen for label in ("allow", "block") if count(c, label) >= 0.02 * len(rows) and count(c, label) / count(c) >= 0.8}
+    total = collections.Counter(x for _, x in rows)
+
+    def end(n, of, side, z=1.96):
+        p = n / of
+        return (p + z * z / 2 / of + side * z * (p * (1 - p) / of + z * z / 4 / of / of) ** 0.5) / (1 + z * z / of)
+
+    def rated(c, label):
+        other = "allow" if label == "block" else "block"
+        low = end(count(c, label), total[label], -1)
+        # FP-growth has no count of a combination with the other label below the support
+        few = count(c, other) if count(c, other) >= 6 else min(5, count(c) - count(c, label))
+        return low / (low + end(few, total[other], 1))
+
+    want = {(c, label): rated(c, label) for c in seen for label in ("allow", "block") if count(c, label) >= 0.02 * len(rows) and rated(c, label) >= 0.6}
     kept = {k: v for k, v in want.items() if not any((tuple(x for x in k[0] if x != t), k[1]) in want and want[tuple(x for x in k[0] if x != t), k[1]] >= v for t in k[0])}
     got = {(tuple(sorted(stands.get(t, t) for t in r.items)), r.label): r.confidence for r in [r.asDict() and types.SimpleNamespace(**r.asDict()) for r in rules]}
     assert set(got) == set(kept) and all(abs(got[k] - kept[k]) < 1e-9 for k in kept) and kept
     urls_of = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "row long, items array<string>")
-    best = {r.row: (r.label, r.confidence) for r in urls.match(urls_of, urls.mine(df, support=0.02, confidence=0.8)).collect()}
+    best = {r.row: (r.label, r.confidence) for r in urls.match(urls_of, urls.mine(df, support=0.02, confidence=0.6)).collect()}
     for i, (items, _) in enumerate(rows):
         fits = [(v, label) for (need, label), v in kept.items() if set(need) <= set(items)]
         assert (i in best) == bool(fits) and (not fits or abs(best[i][1] - max(fits)[0]) < 1e-9)

@@ -49,6 +49,30 @@ def test_mined_rules_block(spark):
     assert got == {1: "block", 2: "allow", 3: "allow"}
 
 
+def test_tokens_without_lift_make_no_rule(spark):
+    block = [(["h:example", "h:com", f"p:{i}"], "block") for i in range(79)]
+    allow = [(["h:example", "h:com", "p:x"], "allow")] * 100
+    some = [(["h:rare", "h:com"], "block")] * 3 + [(["h:farm", "h:com"], "block")] * 40
+    rules = {(tuple(r["items"]), r.label) for r in urls.mine(spark.createDataFrame(block + allow + some, "items array<string>, label string")).collect()}
+    # farm comes with block only; x with allow; what all rows share, what comes by chance and single paths make no rule
+    assert any("h:farm" in i and v == "block" for i, v in rules) and any("p:x" in i and v == "allow" for i, v in rules)
+    assert all({"h:farm", "p:x", "h:example"} & set(i) and "h:rare" not in i and i not in (("h:com",), ("h:example",), ("h:com", "h:example")) for i, v in rules)
+
+
+def test_unlisted_urls_get_verdicts_for_reasons(spark):
+    pages = [(i, f"http://casino.s{i % 40}.com/en/{i}") for i in range(200)] + [(1000 + i, f"http://news.s{i % 40}.com/en/{i}") for i in range(20)] + [(2000 + i, f"http://news.s{i % 40}.test/fr/{i}") for i in range(600)] + [(3000 + i, f"http://casino.t{i}.test/fr/{i}") for i in range(9)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    unlisted = [r for i, r in got.items() if i >= 2000]
+    assert {r.verdict for r in unlisted if r.page_id >= 3000} == {"block"} and {r.verdict for r in unlisted if r.page_id < 3000} == {"allow"}
+    assert all(r.confidence >= urls.MIN_CONFIDENCE and r.rule is None for r in unlisted if r.verdict == "block")
+
+
+def test_given_pages_are_not_overblocked(spark):
+    got = urls.op1_urls(spark, "/root/testdata/sf0.01").where("rule is null").groupBy("verdict").count().collect()
+    counts = {r.verdict: r["count"] for r in got}
+    assert counts["allow"] > 0.7 * sum(counts.values())
+
+
 def test_urls_empty(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
