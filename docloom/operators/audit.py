@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import jsontext, signing
+from ..functions.jsontext import canonical_json  # noqa: F401  part of this module's interface
+
 
 def since_commit(log: DataFrame, commit: str) -> DataFrame:
     """The log from the first entry of ``commit`` on; empty if it has none."""
@@ -33,58 +36,41 @@ def newest_pages(log: DataFrame, n: int | None) -> DataFrame:
 UNHASHED = ("entry_hash", "signature", "timestamp_token")
 
 
-def canonical_json(raw: Column, without: tuple[str, ...] = ()) -> Column:
-    """A JSON object with sorted keys at every level and no blanks, nulls kept, top-level keys ``without`` left out; null if it is no JSON object."""
-    fields = F.from_json(raw, "map<string,variant>")
-    keys = F.array_sort(F.filter(F.map_keys(fields), lambda k: ~k.isin(*without))) if without else F.array_sort(F.map_keys(fields))
-    return F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(_quoted(k), F.lit(":"), F.coalesce(F.to_json(fields[k]), F.lit("null")))), ","), F.lit("}"))
-
-
-def _quoted(text: Column) -> Column:
-    """A text as a JSON string."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("k"))), r"(?s)\A\{\"k\":(.*)\}\z", 1)
-
-
 def sha(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
 
 
-def chain(log: DataFrame, by: str = "log", order: str = "seq", fields: list[str] | None = None) -> DataFrame:
+def chain(log: DataFrame, by: str = "log", order: str = "seq", fields: list[str] | None = None, after: DataFrame | None = None) -> DataFrame:
     """``log`` with ``prev_hash`` and ``entry_hash``, chained by ``order`` within each log ``by``.
 
-    The entry that is hashed has ``fields`` (all columns but these two by default), of any
-    type, nulls kept, and the hash before. One log is sequential by nature, so it is one
-    task's work; logs are dealt over tasks and sorted there, and a task reads its rows as
-    a stream with one hash in hand, so a long log takes no more memory.
+    The entry that is hashed, as canonical JSON, has ``fields`` (all columns but these
+    two by default), of any type, nulls kept, and the hash before. One log is sequential
+    by nature, so it is one task's work; logs are dealt over tasks and sorted there, and a
+    task reads its rows as a stream with one hash in hand, so a long log takes no more
+    memory. ``after`` (by, entry_hash) has the last hash of logs that go on.
     """
     from pyspark.sql import types as T
 
-    fields = sorted(fields or [c for c in log.columns if c not in (by, order)])
-    before, after = [c for c in fields if c < "prev_hash"], [c for c in fields if c > "prev_hash"]
-
-    def part(columns: list[str]) -> Column:
-        if not columns:
-            return F.lit("")
-        return F.regexp_extract(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), r"(?s)\A\{(.*)\}\z", 1)
-
-    head = F.concat(F.lit("{"), part(before), F.lit("," if before else ""), F.lit('"prev_hash":'))
-    rest = F.concat(F.lit("," if after else ""), part(after), F.lit("}"))
-    row = F.struct(*log.columns)
-    ready = log.select(row.alias("row"), F.col(by).alias("by"), F.col(order).alias("order"), head.alias("head"), rest.alias("rest")).repartition("by").sortWithinPartitions("by", "order")
+    fields = fields or [c for c in log.columns if c not in (by, order)]
+    body = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    ready = log.select(F.struct(*log.columns).alias("row"), F.col(by).alias("by"), F.col(order).alias("order"), body.alias("body"))
+    if after is not None:
+        ready = ready.join(after.select(F.col(by).alias("by"), F.col("entry_hash").alias("before")), "by", "left")
+    else:
+        ready = ready.withColumn("before", F.lit(None).cast("string"))
+    ready = ready.select("row", "by", "order", "body", "before").repartition("by").sortWithinPartitions("by", "order")
 
     def run(batches):
-        import hashlib
-
         import pyarrow as pa
 
         log_id, last = None, None
         for batch in batches:
             prevs, hashes = [], []
-            for who, a, b in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4)), strict=True):
+            for who, text, before in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4)), strict=True):
                 if who != log_id:
-                    log_id, last = who, None
+                    log_id, last = who, before
                 prevs.append(last)
-                last = "sha256:" + hashlib.sha256((a + ("null" if last is None else f'"{last}"') + b).encode()).hexdigest()
+                last = entry_hash(jsontext.parsed(text) | {"prev_hash": last})
                 hashes.append(last)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], names=["row", "prev_hash", "entry_hash"])
 
@@ -92,17 +78,64 @@ def chain(log: DataFrame, by: str = "log", order: str = "seq", fields: list[str]
     return ready.mapInArrow(run, schema).select("row.*", "prev_hash", "entry_hash")
 
 
+def entry_hash(entry: dict) -> str:
+    """The hash of an entry, without what it gets after it is hashed."""
+    import hashlib
+
+    text = jsontext.canonical({k: v for k, v in entry.items() if k not in UNHASHED})
+    return "sha256:" + hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+ALGORITHM = "Ed25519"
+
+
+def signed(log: DataFrame, seeds: dict[str, bytes], **options) -> DataFrame:
+    """``log`` chained as by ``chain`` and signed: ``alg`` and ``signing_key_id`` are part of what is hashed, ``signature`` is that of the hash.
+
+    Rows name their key in ``signing_key_id``; those that name none, or one that ``seeds`` (id -> private key) lacks, stay unsigned.
+    """
+    named = log.withColumn("signing_key_id", F.when(F.col("signing_key_id").isin(*seeds), F.col("signing_key_id")))
+    named = named.withColumn("alg", F.when(F.col("signing_key_id").isNotNull(), ALGORITHM))
+    if "fields" in options:
+        options = options | {"fields": [*options["fields"], "alg", "signing_key_id"]}
+    return chain(named, **options).withColumn("signature", signing.signature(F.col("entry_hash"), F.col("signing_key_id"), seeds))
+
+
 def lines(entries: DataFrame, fields: list[str]) -> Column:
     """Entries as JSON lines, with ``prev_hash`` and ``entry_hash``; nulls are kept."""
     return F.to_json(F.struct(*sorted([*fields, "prev_hash", "entry_hash"])), {"ignoreNullFields": "false"})
 
 
+#: What verifying needs of an entry.
+CLAIMS = ("entry_hash", "prev_hash", "signature", "signing_key_id")
+
+
+def claims(raw: Column) -> Column:
+    """A struct of what a JSON line claims and of the hash that it should have (``recomputed``); null if the line is no JSON object.
+
+    The line is read once. What should be a text and isn't counts as its JSON.
+    """
+
+    @F.arrow_udf("struct<" + ",".join(f"{c}:string" for c in (*CLAIMS, "recomputed")) + ">")
+    def run(texts):
+        import pyarrow as pa
+
+        rows = []
+        for text in texts.to_pylist():
+            try:
+                entry = jsontext.parsed(text) if text is not None else None
+                rows.append({c: v if (v := entry.get(c)) is None or isinstance(v, str) else jsontext.canonical(v) for c in CLAIMS} | {"recomputed": entry_hash(entry)} if isinstance(entry, dict) else None)
+            except (ValueError, UnicodeError):
+                rows.append(None)
+        return pa.array(rows, pa.struct([(c, pa.string()) for c in (*CLAIMS, "recomputed")]))
+
+    return run(raw)
+
+
 def parsed_lines(log: DataFrame, raw: str = "raw") -> DataFrame:
     """``log`` with the parts of its JSON lines that verifying needs; all null where a line is no JSON object. Blank lines are dropped."""
-    found = F.from_json(raw, "map<string,variant>")
-    text = lambda k: F.try_variant_get(F.col("__m")[k], "$", "string")
-    out = log.where(F.col(raw) != "").withColumn("__m", found)
-    return out.select(*log.columns, F.col("__m").isNotNull().alias("is_json"), text("entry_hash").alias("entry_hash"), text("prev_hash").alias("prev_hash"), text("signature").alias("signature"), text("signing_key_id").alias("signing_key_id"), sha(canonical_json(F.col(raw), UNHASHED)).alias("recomputed"))
+    out = log.where(F.col(raw) != "").withColumn("__c", claims(F.col(raw)))
+    return out.select(*log.columns, F.col("__c").isNotNull().alias("is_json"), *(F.col(f"__c.{c}").alias(c) for c in (*CLAIMS, "recomputed")))
 
 
 def verify(log: DataFrame, by: str = "log", raw: str = "raw", keys: DataFrame | None = None, require_signed: bool = False, width: int = 4096) -> DataFrame:
@@ -110,8 +143,9 @@ def verify(log: DataFrame, by: str = "log", raw: str = "raw", keys: DataFrame |
 
     A line that is no JSON is an error and leaves the hash before as it is; an entry
     whose hash does not fit is tampered and not valid; one that does not follow the
-    claimed hash before it breaks the chain but is valid. Signatures are compared with
-    ``keys`` (signing_key_id), which are few: without their key they are an error.
+    claimed hash before it breaks the chain but is valid. A signature is verified with
+    its key of ``keys`` (signing_key_id, public_key_pem); one that fails, and one whose
+    key isn't there, is an error, and the entry isn't signed.
     Windows hold a range of a log; the last hash of the ranges before comes from one row
     for each range.
     """
@@ -123,22 +157,36 @@ def verify(log: DataFrame, by: str = "log", raw: str = "raw", keys: DataFrame |
     carry = every.select(by, "range", F.last("end", ignorenulls=True).over(Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
     within = Window.partitionBy(by, "range").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     got = got.withColumn("last", F.last(claim, ignorenulls=True).over(within)).join(carry, [by, "range"])
-    known = F.lit(False)
-    if keys is not None:
-        got = got.join(F.broadcast(keys.select("signing_key_id", F.lit(True).alias("known")).distinct()), "signing_key_id", "left")
-        known = F.coalesce("known", F.lit(False))
     tampered = ~F.col("recomputed").eqNullSafe(F.col("entry_hash"))
+    claims_one = F.coalesce(F.col("signature") != "", F.lit(False))
+    if keys is not None:
+        one = keys.groupBy("signing_key_id").agg(F.min(F.struct(F.col("public_key_pem"))).alias("key"))
+        got = got.join(one, "signing_key_id", "left")
+    else:
+        got = got.withColumn("key", F.lit(None).cast("struct<public_key_pem:string>"))
+    known = F.col("key").isNotNull()
+    checked = F.when(F.col("is_json") & ~tampered & claims_one & known, F.col("signature"))
+    got = got.withColumn("fits", F.coalesce(signing.signature_fits(F.col("entry_hash"), checked, F.coalesce("key.public_key_pem", F.lit(""))), F.lit(False)))
     broken = ~F.col("prev_hash").eqNullSafe(F.coalesce("last", "carry")["entry_hash"])
-    signed = F.coalesce(F.col("signature") != "", F.lit(False))
+    signed = claims_one
     checks = [
         F.when(~F.col("is_json"), "not valid JSON"),
         F.when(F.col("is_json") & tampered, "tampered"),
         F.when(F.col("is_json") & ~tampered & broken, "chain break"),
         F.when(F.col("is_json") & ~tampered & signed & ~known, "unknown signing key"),
+        F.when(F.col("is_json") & ~tampered & signed & known & ~F.col("fits"), "signature verification failed"),
         F.when(F.col("is_json") & ~tampered & ~signed, "unsigned") if require_signed else F.lit(None).cast("string"),
     ]
     valid = F.col("is_json") & ~tampered
-    return got.select(by, "seq", valid.alias("valid"), (valid & signed & known).alias("signed"), (valid & ~signed).alias("unsigned"), F.array_compact(F.array(*checks)).alias("reasons"))
+    return got.select(by, "seq", valid.alias("valid"), (valid & F.col("fits")).alias("signed"), (valid & ~signed).alias("unsigned"), F.array_compact(F.array(*checks)).alias("reasons"))
+
+
+KEYS = "signing_key_id string, public_key_pem string, created_at string, valid_from string, valid_until string, revoked_at string"
+
+
+def registry_rows(spark, publics: list[bytes], now: str) -> DataFrame:
+    """A registry's rows for new public keys, valid from ``now`` on."""
+    return spark.createDataFrame([(signing.key_id(p), signing.public_pem(p), now, now, None, None) for p in publics], KEYS)
 
 
 def tallies(verified: DataFrame, by: str = "log") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from ..functions import settings
+from ..functions import settings, signing
 from ..functions import text as T
 from ..operators import audit, candidates, drafts, pages, prompts, publish, reports
 from . import views
@@ -346,19 +348,27 @@ def known_entries(spark, sf_dir):
     return audit.known_kinds(log).select("seq", F.lit(True).alias("known"))
 
 
-_SIGNED = f"{views.AUDIT}"
-
-
-@query("SELECT event_id AS seq, event_id % 3 <> 2 AS signed, CASE WHEN event_id % 3 = 2 THEN 'unknown signing key' ELSE '' END AS reasons FROM events")
+@query("SELECT event_id AS seq, event_id % 3 <> 2 AND event_id % 10 <> 7 AS signed, CASE WHEN event_id % 3 = 2 THEN 'unknown signing key' WHEN event_id % 10 = 7 THEN 'signature verification failed' ELSE '' END AS reasons FROM events")
 def signing_keys(spark, sf_dir):
-    """Signed entries against the keys k0 and k1, each in a log of its own."""
-    log = views.audit(spark, sf_dir).select(F.col("seq").alias("log"), "seq", "page", F.concat(F.lit("k"), F.col("seq") % 3).alias("signing_key_id"))
-    log = audit.chain(log, fields=["page", "signing_key_id"])
-    raw = log.select("log", "seq", F.to_json(F.struct("page", "signing_key_id", "prev_hash", "entry_hash", F.lit("c2ln").alias("signature")), {"ignoreNullFields": "false"}).alias("raw"))
-    keys = spark.createDataFrame([("k0",), ("k1",)], "signing_key_id string")
+    """Entries signed with three keys, of which two are registered; every tenth signature is that of another text."""
+    seeds = {signing.key_id(signing.public_of(s)): s for s in (hashlib.sha256(f"key {k}".encode()).digest() for k in range(3))}
+    log = views.audit(spark, sf_dir).select(F.col("seq").alias("log"), "seq", "page", "operation", F.get(F.array(*map(F.lit, seeds)), (F.col("seq") % 3).cast("int")).alias("signing_key_id"))
+    log = audit.signed(log, seeds, fields=["page", "operation"])
+    other = signing.signature(F.when(F.col("seq") % 10 == 7, F.concat("entry_hash", F.lit("0"))), F.col("signing_key_id"), seeds)
+    raw = log.select("log", "seq", F.to_json(F.struct("page", "operation", "alg", "signing_key_id", "prev_hash", "entry_hash", F.coalesce(other, "signature").alias("signature")), {"ignoreNullFields": "false"}).alias("raw"))
+    keys = audit.registry_rows(spark, [signing.public_of(s) for s in list(seeds.values())[:2]], "2024-01-01T00:00:00Z")
     return audit.verify(raw, keys=keys, require_signed=True).select("seq", "signed", F.array_join("reasons", "; ").alias("reasons"))
 
 
+@query("""SELECT event_id AS seq, '{"a":{"k":' || CASE WHEN event_id = 0 THEN '0' ELSE event_id || '.25' END || ',"z":null},"b":"' || chr(8232) || '\\u0007","' || chr(233) || '":[0,' || (event_id * 100) || ',0.5,1e+21,1e-7]}' AS canonical FROM events""")
+def canonical_numbers(spark, sf_dir):
+    """Numbers with exponents and zeros, repeated keys, keys out of order, escapes: as one text."""
+    i = F.col("event_id").cast("string")
+    quarter = F.when(F.col("event_id") == 0, "-0.0").otherwise(F.concat(i, F.lit(".250")))
+    raw = F.concat(F.lit('{ "b" : "first", "\\u00e9": [-0, '), i, F.lit('e2, 5.0e-1, 1000000000000000000000, 0.0000001], "a": {"z":null, "k":1, "k": '), quarter, F.lit('}, "b": "\\u2028\\u0007"}'))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), audit.canonical_json(raw).alias("canonical"))
+
+
 @query("WITH p AS (SELECT coalesce(source, 'none') AS repo, count(*) AS pages FROM documents WHERE doc_id % 4 <> 0 GROUP BY 1), r AS (SELECT coalesce(source, 'none') AS repo, count(*) AS retried, count(*) FILTER (doc_id % 8 = 0) AS w FROM documents WHERE doc_id % 4 = 0 GROUP BY 1) SELECT coalesce(p.repo, r.repo) AS repo, coalesce(p.pages, 0) AS pages, coalesce(r.retried, 0) AS retried, CASE WHEN coalesce(r.w, 0) = 0 THEN '' ELSE 'tags=' || r.w || ',unknown=' || r.w END AS warnings FROM p FULL JOIN r ON p.repo = r.repo")
 def retried_snapshot(spark, sf_dir):
     i = F.col("doc_id")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import audit
 from ..operators.candidates import language_of, scanned, with_extension
 from ..operators.pages import page_files
 
@@ -26,10 +29,32 @@ def source_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = (
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(seq, raw) of a log of JSON lines, in its order, without blank lines.
 
-    The order within a file is that of its rows; several files follow one another by name.
+    The order within a file is that of its rows; several files follow one another by
+    name. A row's place is its number in the part of a file that a task reads, after
+    the rows of the parts before; these are counted in a table of one row for each part.
     """
-    rows = spark.read.text(path).select(F.col("value").alias("raw"), "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
-    return rows.where("raw != ''").select(F.struct("file_path", "file_block_start", "at").alias("place"), "raw", F.col("at").alias("seq")).select("seq", "raw")
+    rows = spark.read.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    parts = rows.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("file", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.where("raw != ''").join(parts, ["file", "start"]).select((F.col("at") + F.col("shift")).alias("seq"), "raw")
+
+
+def read_keys(spark: SparkSession, path: str) -> DataFrame:
+    """The public keys of a registry file: an object whose ``keys`` is a list of them."""
+    return spark.read.schema(f"keys array<struct<{audit.KEYS.replace(' string', ':string')}>>").json(path, multiLine=True).select(F.inline("keys"))
+
+
+def add_keys(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Append keys (few) to a registry file, which is made if it isn't there; keys of before stay, so what they signed can still be verified."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    known = read_keys(spark, path) if files.exists(hadoop) else spark.createDataFrame([], audit.KEYS)
+    keys = [r.asDict() for r in (*known.collect(), *rows.collect())]
+    with_bytes = bytearray((json.dumps({"keys": keys}, indent=2) + "\n").encode())
+    out = files.create(hadoop, True)
+    out.write(with_bytes)
+    out.close()
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
