@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, candidates, drafts, pages, publish, reports
+from ..sources import scratch
+from ..streaming import logs
 from . import views
 from .base import ORACLE_SQL, QUERIES, query
 from .views import table
@@ -218,6 +220,18 @@ def chain_append(spark, sf_dir):
     return audit.chain(views.audit(spark, sf_dir), fields=_OWN).select("seq", "page", "prev_hash", "entry_hash")
 
 
+@query(f"WITH RECURSIVE {_CHAIN} SELECT seq, log, prev_hash, entry_hash FROM chain")
+def chain_stream(spark, sf_dir):
+    """The events as a stream, appended to logs of JSON lines; what was written is read."""
+    # a pattern, as a stream's path that is none must be a folder
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    chained = logs.appended(views.audit_of(events), _OWN)
+    out = scratch.new_folder(spark, "log")
+    logs.append_to(chained, out, scratch.new_folder(spark, "log-checkpoint")).awaitTermination()
+    hashes = F.from_json("raw", "prev_hash string, entry_hash string")
+    return spark.read.schema("log long, seq long, raw string").json(out).select("seq", "log", hashes.alias("h")).select("seq", "log", "h.*")
+
+
 def _kept_log(spark, sf_dir):
     """The log as lines after someone took entries away, changed some, and cut some lines short; some claim a signature."""
     i = F.col("seq")

@@ -17,7 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs of operations on pages: seq orders them."""
-    e, k, kind = table(spark, sf_dir, "events"), F.col("k"), F.col("event_type")
+    return audit_of(table(spark, sf_dir, "events"))
+
+
+def audit_of(events: DataFrame) -> DataFrame:
+    """The same of a table or a stream of events."""
+    e, k, kind = events, F.col("k"), F.col("event_type")
     e = e.withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).try_cast("int"))
     operation = F.when(kind == "purchase", "publish").when((kind == "error") & (k >= 50), "retried").otherwise("generate")
     outcome = F.when(kind == "signup", "created").when(kind == "view", "unchanged").when(kind == "error", F.when(k < 50, "error").when(k < 80, "recovered").otherwise("no_help")).otherwise("updated")
