@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import settings, signing
 from ..functions import text as T
 from ..operators import audit, candidates, drafts, pages, prompts, publish, reports
+from ..sources import scratch, wiki
 from . import views
 from .base import query
 from .views import table
@@ -369,6 +370,17 @@ def canonical_numbers(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), audit.canonical_json(raw).alias("canonical"))
 
 
+@query(f"WITH {views.WIKI}, k AS (SELECT key::VARCHAR AS key, title FROM wiki WHERE key IS NOT NULL), d AS (SELECT doc_id::VARCHAR AS key, 'T' || doc_id AS title, coalesce(text, '') AS body FROM documents) SELECT coalesce(d.key, k.key) AS key, coalesce(d.title, k.title) AS title, CASE WHEN d.key IS NOT NULL AND k.key IS NOT NULL AND (d.title <> k.title OR d.body <> '') THEN 2 ELSE 1 END::BIGINT AS version, md5(coalesce(d.body, '')) AS body FROM d FULL JOIN k ON d.key = k.key")
+def wiki_published(spark, sf_dir):
+    """A wiki of files gets the keyed pages of the inventory, then all documents by key; it is read back."""
+    at = {"url": "folder:" + scratch.new_folder(spark, "wiki").removeprefix("file:"), "space": "DOCS"}
+    keyed = views.wiki(spark, sf_dir).where("key is not null")
+    wiki.publish_to(keyed.select(F.col("key").cast("string").alias("key"), "title", F.lit("").alias("body")), **at)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.concat(F.lit("T"), "doc_id").alias("title"), F.coalesce("text", F.lit("")).alias("body"))
+    wiki.publish_to(docs, **at)
+    return wiki.read_wiki(spark, **at).select("key", "title", "version", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
 @query("WITH p AS (SELECT coalesce(source, 'none') AS repo, count(*) AS pages FROM documents WHERE doc_id % 4 <> 0 GROUP BY 1), r AS (SELECT coalesce(source, 'none') AS repo, count(*) AS retried, count(*) FILTER (doc_id % 8 = 0) AS w FROM documents WHERE doc_id % 4 = 0 GROUP BY 1) SELECT coalesce(p.repo, r.repo) AS repo, coalesce(p.pages, 0) AS pages, coalesce(r.retried, 0) AS retried, CASE WHEN coalesce(r.w, 0) = 0 THEN '' ELSE 'tags=' || r.w || ',unknown=' || r.w END AS warnings FROM p FULL JOIN r ON p.repo = r.repo")
 def retried_snapshot(spark, sf_dir):
     i = F.col("doc_id")
