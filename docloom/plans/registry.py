@@ -377,4 +377,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_latest_by_page(spark, sf_dir)
 
 
-from . import code_queries, page_queries, parser_queries  # noqa: E402, F401  these register their queries
+from . import code_queries, page_queries, parser_queries, source_queries  # noqa: E402, F401  these register their queries
