@@ -86,6 +86,7 @@ class Block:
     links: int  # characters in links
     holder: int = 0  # the element around the paragraph
     by: tuple[int, ...] = ()  # the elements around it that are bad by class or id
+    within: tuple[int, ...] = ()  # the elements around it, paragraphs left out
     label: str = ""
 
 
@@ -133,7 +134,8 @@ def _blocks(page: str, spared: set[int]) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 tag, bad, article, _, by = stack[-1] if stack else ("", False, False, 0, ())
-                out.append(Block(text, tag, bad, article, links, next((e[3] for e in reversed(stack) if e[0] not in PARAGRAPHS), 0), by))
+                within = tuple(e[3] for e in stack if e[0] not in PARAGRAPHS)
+                out.append(Block(text, tag, bad, article, links, within[-1] if within else 0, by, within))
         parts, links = [], 0
 
     at = 0
@@ -180,21 +182,51 @@ def _blocks(page: str, spared: set[int]) -> list[Block]:
     return out
 
 
+def _stop_share(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
 def classify(found: list[Block]) -> list[bool]:
-    """Whether each block is main text."""
+    """Whether each block is main text.
+
+    Where the long blocks of a page hold hardly any known stop word, it is in another
+    language: length and links decide alone. A block that is bad only by its links or
+    stop words, in an element that holds good ones or within it, is undecided: an
+    article's table, code or list of sources. A copyright sign counts in short blocks
+    behind the last good one.
+    """
+    placed = [b for b in found if not b.bad]
+    foreign = sum(len(b.text) for b in placed if len(b.text) >= SHORT and _stop_share(b.text) < STOPS_LOW) > 0.9 * sum(len(b.text) for b in placed if len(b.text) >= SHORT)
+    weak: list[Block] = []
     for b in found:
         n, links = len(b.text), b.links / max(1, len(b.text.replace(" ", "")))
-        if b.bad or "©" in b.text or links > LINKS_HIGH:
+        stops = STOPS_HIGH if foreign else _stop_share(b.text)
+        if b.bad:
             b.label = "bad"
-            continue
-        words = _WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if n < SHORT:
+        elif links > LINKS_HIGH:
+            b.label = "bad"
+            weak.append(b)
+        elif n < SHORT:
             b.label = "short"
         elif stops >= STOPS_HIGH:
             b.label = "good" if n >= LONG else "near"
+        elif stops >= STOPS_LOW:
+            b.label = "near"
+        elif b.tag == "p":
+            b.label = "short"
         else:
-            b.label = "near" if stops >= STOPS_LOW else "short" if b.tag == "p" else "bad"
+            b.label = "bad"
+            weak.append(b)
+    good = {e for b in found if b.label == "good" for e in b.within[-1:]}
+    for b in weak:
+        # a line that is nothing but a link stays what it is: a menu in the article's element
+        if good & set(b.within) and (len(b.text) >= SHORT or b.links < 0.9 * len(b.text.replace(" ", ""))):
+            b.label = "near"
+    last = max((i for i, b in enumerate(found) if b.label == "good"), default=len(found))
+    for b in found[last + 1 :]:
+        if "©" in b.text and len(b.text) < LONG:
+            b.label = "bad"
     before, after, last = [], [], None
     for b in found:
         before.append(last)
@@ -214,8 +246,8 @@ def classify(found: list[Block]) -> list[bool]:
             out.append(True)  # the only text there is
         elif b.label == "near":
             out.append(up or down)
-        else:  # short: between good ones, next to a good one in the same element, or the heading of one
-            out.append(up and (down or y is None or x.holder == b.holder) or down and (y.holder == b.holder or b.tag[:1] == "h"))
+        else:  # short: between good ones, next to a good one in the same element (the last ones also deeper in it), or the heading of one
+            out.append(up and (down or x.holder == b.holder or y is None and x.holder in b.within) or down and (y.holder == b.holder or b.tag[:1] == "h"))
     return out
 
 

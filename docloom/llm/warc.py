@@ -17,6 +17,7 @@ an empty text; repeated rows give repeated records with the same identifiers.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html
 import re
@@ -86,15 +87,22 @@ def http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0].decode("latin-1"), _headers(lines[1:]), payload
 
 
+def is_charset(name: str) -> bool:
+    """Whether a name is that of an encoding of text that the web knows (and not of a transformation, nor of one that takes no faults)."""
+    try:
+        found = codecs.lookup(name).name
+        "".encode(found)
+    except (LookupError, UnicodeError, ValueError, TypeError):
+        return False
+    return not re.fullmatch(r"idna|punycode|undefined|mbcs|oem|utf-7|(raw_|raw-)?unicode[-_]escape|rot13|.*[-_]codec", found)
+
+
 def plain_text(payload: bytes, charset: str | None = None) -> str:
     """The text of a page: a line for each block, blanks collapsed, empty lines left out."""
     if charset is None:
         found = _CHARSET.search(payload[:2048])
         charset = found[1].decode() if found else "utf-8"
-    try:
-        page = payload.decode(charset, "replace")
-    except LookupError:
-        page = payload.decode("utf-8", "replace")
+    page = payload.decode(charset if is_charset(charset) else "utf-8", "replace")
     # blanks of the page are one blank; what remains of line ends are block ends
     page = _ANY.sub("", _BREAK.sub("\n", _RAW.sub(" ", page).replace("\n", " ").replace("\r", " ")))
     lines = (" ".join(x.split()) for x in html.unescape(page).split("\n"))
@@ -113,12 +121,12 @@ def derive(data: bytes) -> list[dict]:
     status, fields, payload = http(block)
     kind = get(fields, "Content-Type") or ""
     charset = _CHARSET.search(kind.encode())
-    text = plain_text(payload, charset[1].decode() if charset else None).encode()
+    text = plain_text(payload, charset[1].decode() if charset else None).encode("utf-8", "replace")
     block_digest, payload_digest = get(headers, "WARC-Block-Digest") or digest(block), get(headers, "WARC-Payload-Digest") or digest(payload)
     ids = {t: f"<urn:uuid:{uuid.uuid5(SPACE, f'{t} {source}')}>" for t in ("metadata", "conversion")}
     info = [("source-record-id", source), ("source-status", status), ("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("source-length", str(len(payload))), ("text-length", str(len(text)))]
     info += [(f"source-header-{k}", v) for k, v in fields]
-    blocks = {"metadata": b"".join(f"{k}: {v or ''}\r\n".encode() for k, v in info), "conversion": text}
+    blocks = {"metadata": b"".join(f"{k}: {v or ''}\r\n".encode("utf-8", "replace") for k, v in info), "conversion": text}
     out = []
     for t, content, other in (("metadata", "application/warc-fields", "conversion"), ("conversion", "text/plain; charset=utf-8", "metadata")):
         own = [("WARC-Type", t), ("WARC-Record-ID", ids[t]), ("WARC-Refers-To", source), ("WARC-Concurrent-To", ids[other]), ("WARC-Target-URI", target), ("WARC-Date", date), ("WARC-Block-Digest", digest(blocks[t])), ("Content-Type", content)]
