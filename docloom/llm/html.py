@@ -86,7 +86,7 @@ class Block:
     links: int  # characters in links
     holder: int = 0  # the element around the paragraph
     by: tuple[int, ...] = ()  # the elements around it that are bad by class or id
-    within: tuple[int, ...] = ()  # the elements around it, paragraphs left out
+    within: tuple[int, ...] = ()  # the elements around it, without paragraphs, html and body
     label: str = ""
 
 
@@ -134,8 +134,8 @@ def _blocks(page: str, spared: set[int]) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 tag, bad, article, _, by = stack[-1] if stack else ("", False, False, 0, ())
-                within = tuple(e[3] for e in stack if e[0] not in PARAGRAPHS)
-                out.append(Block(text, tag, bad, article, links, within[-1] if within else 0, by, within))
+                within = tuple(e[3] for e in stack if e[0] not in PARAGRAPHS and e[0] not in ("html", "body"))
+                out.append(Block(text, tag, bad, article, links, next((e[3] for e in reversed(stack) if e[0] not in PARAGRAPHS), 0), by, within))
         parts, links = [], 0
 
     at = 0
@@ -246,8 +246,8 @@ def classify(found: list[Block]) -> list[bool]:
             out.append(True)  # the only text there is
         elif b.label == "near":
             out.append(up or down)
-        else:  # short: between good ones, next to a good one in the same element (the last ones also deeper in it), or the heading of one
-            out.append(up and (down or x.holder == b.holder or y is None and x.holder in b.within) or down and (y.holder == b.holder or b.tag[:1] == "h"))
+        else:  # short: between good ones, next to a good one in the same element or deeper in it, or the heading of one
+            out.append(up and (down or x.holder == b.holder or x.holder in b.within) or down and (y.holder == b.holder or y.holder in b.within or b.tag[:1] == "h"))
     return out
 
 
