@@ -275,9 +275,3 @@ def page_of_key(files: DataFrame, key: str) -> DataFrame:
 def known_keys(files: DataFrame, most: int = 10) -> DataFrame:
     """The first keys of page files, in order: what is told when a key is not found."""
     return page_files(files).where("page_key is not null").select(F.col("page_key").alias("key")).orderBy("key").limit(most)
-
-
-def preview_groups(pages: DataFrame, folder: Column) -> DataFrame:
-    """(folder, pages, titles): pages (title) by folder, with their titles in order of code points. A group's titles are an index, not texts."""
-    grouped = pages.groupBy(folder.alias("folder")).agg(F.count("*").alias("pages"), F.sort_array(F.collect_list("title")).alias("titles"))
-    return grouped

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import settings, signing
 from ..functions import text as T
-from ..operators import audit, candidates, drafts, pages, prompts, publish, reports
+from ..operators import audit, candidates, drafts, matching, pages, prompts, publish, reports
 from ..sources import scratch, wiki
 from . import views
 from .base import query
@@ -208,11 +208,13 @@ def key_lookup(spark, sf_dir):
     return pages.page_of_key(views.pages(spark, sf_dir).withColumn("path", F.col("doc_id").cast("string")), "k-5").select("doc_id")
 
 
-@query(f"WITH {views.CANDIDATES} SELECT split_part(relative_path, '/', 1) AS folder, count(*) AS pages, array_to_string(list_sort(list(name)), ',') AS titles FROM candidates GROUP BY 1")
+@query(f"WITH {views.CANDIDATES}, t AS (SELECT split_part(relative_path, '/', 1) AS folder, CASE doc_id % 4 WHEN 0 THEN lower(name) WHEN 1 THEN 'é' || name WHEN 2 THEN '(' || name ELSE name END AS title FROM candidates) SELECT folder, count(*) OVER (PARTITION BY folder) AS pages, row_number() OVER (PARTITION BY folder ORDER BY icu_sort_key(title, 'und'), title) AS rank, title FROM t")
 def preview_titles(spark, sf_dir):
-    c = views.candidates(spark, sf_dir).withColumnRenamed("name", "title")
-    got = pages.preview_groups(c, candidates.group_folder(F.replace("relative_path", F.lit("/"), F.lit("\\"))))
-    return got.withColumn("titles", F.array_join("titles", ","))
+    """Titles by folder, in the order that people sort them in."""
+    i, name = F.col("doc_id"), F.col("name")
+    title = F.when(i % 4 == 0, F.lower(name)).when(i % 4 == 1, F.concat(F.lit("é"), name)).when(i % 4 == 2, F.concat(F.lit("("), name)).otherwise(name)
+    c = views.candidates(spark, sf_dir).select("relative_path", title.alias("title"))
+    return matching.ranked_titles(c, candidates.group_folder(F.replace("relative_path", F.lit("/"), F.lit("\\"))))
 
 
 @query(f"WITH {views.PAGES} SELECT 'p' || doc_id AS slug, CASE doc_id % 3 WHEN 0 THEN 'created' WHEN 1 THEN 'unchanged' ELSE 'updated' END AS change FROM pages_md")

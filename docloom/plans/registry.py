@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, candidates, drafts, pages, publish, reports
+from ..operators import audit, candidates, drafts, matching, pages, publish, reports
 from ..sources import scratch
 from ..streaming import logs
 from . import views
@@ -362,6 +362,13 @@ def replay_match(spark, sf_dir):
     return candidates.match_pages(entries, c.select("relative_path", "line_start", "name"))
 
 
+@query(f"WITH {views.CANDIDATES}, k AS (SELECT DISTINCT name, {_KEBAB} AS kebab FROM candidates), s AS (SELECT DISTINCT {slug_sql('text')} || '-' || (doc_id % 60) || '-show' AS slug FROM documents WHERE text IS NOT NULL) SELECT name, slug FROM k JOIN s ON kebab <> '' AND (contains(slug, kebab) OR contains(kebab, split_part(slug, '-', 1)))")
+def slug_pairs(spark, sf_dir):
+    """Every name against the slug of every text: those that may belong together."""
+    slugs = table(spark, sf_dir, "documents").where("text is not null").select(F.concat(T.slugify(F.col("text")), F.lit("-"), F.col("doc_id") % 60, F.lit("-show")).alias("slug"))
+    return matching.slug_pairs(views.candidates(spark, sf_dir).select("name"), slugs)
+
+
 @query(f"WITH {views.CANDIDATES} SELECT CASE WHEN contains(relative_path, '/') THEN split_part(relative_path, '/', 1) ELSE '(root)' END AS folder, count(*) AS pages FROM candidates GROUP BY 1")
 def preview_index(spark, sf_dir):
     return views.candidates(spark, sf_dir).groupBy(candidates.group_folder(F.col("relative_path")).alias("folder")).agg(F.count("*").alias("pages"))
