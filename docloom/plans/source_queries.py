@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from ..sources import git, scratch
+from ..sources import claims, git, scratch, wiki
 from .base import query
 from .views import table
 
@@ -45,3 +45,16 @@ def git_changed(spark, sf_dir):
     Path(root, "HEAD").write_text("ref: refs/heads/main\n")
     Path(root, "refs/heads/main").write_text(second + "\n")
     return git.changed_since(spark, root, first).select("path")
+
+
+@query("SELECT page_id::VARCHAR AS key, CASE WHEN page_id % 3 = 0 THEN 'rejected' ELSE 'claimed' END AS state, CASE WHEN page_id % 3 = 0 THEN 'already managed: own-' || page_id END AS message, 'sha256:' || sha256(coalesce(html, '')) AS content_hash, md5(CASE WHEN page_id % 3 = 0 THEN coalesce(html, '') ELSE '<p>ours</p>' || chr(10) || '<!-- managed:start id=' || page_id || ' -->' || chr(10) || '<!-- managed:end -->' || chr(10) || '<hr/>' || chr(10) || '<h2>Original content (preserved)</h2>' || chr(10) || coalesce(html, '') END) AS body FROM pages")
+def wiki_claims(spark, sf_dir):
+    """All web pages as pages of a wiki, a third of them managed already; the claims' log with what each page is afterwards."""
+    at = {"url": "folder:" + scratch.new_folder(spark, "claimed").removeprefix("file:"), "space": "DOCS"}
+    i = F.col("page_id")
+    web = table(spark, sf_dir, "pages").select(i.cast("string").alias("key"), F.concat(F.lit("T"), i).alias("title"), F.coalesce("html", F.lit("")).alias("body"), F.when(i % 3 == 0, F.array(F.concat(F.lit("docloom-own-"), i))).otherwise(F.array().cast("array<string>")).alias("labels"))
+    wiki.publish_to(web, mark="people-", **at)
+    theirs = wiki.read_wiki(spark, mark="people-", **at).select("page_id", "key")
+    told = claims.claim(theirs, "<p>ours</p>", **at)
+    after = wiki.read_wiki(spark, **at).select("page_id", F.md5(F.col("body").cast("binary")).alias("body"))
+    return told.join(after, "page_id").select("key", "state", "message", "content_hash", "body")
