@@ -89,11 +89,12 @@ def orm_models(spark, sf_dir):
 _CALLS = {4: "find_by,render_page", 5: "system,clear,open,execute,tidy,get", 6: "filter,all,send_mail,delay,post,render", 7: "atomic,delete,callproc,run,write,publish", 8: "", 9: "", 10: "save,max,queryExecute,fileWrite,doWork,entitySave,announceEvent", 11: ""}
 
 
-@query(f"WITH {FUNCTIONS} SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(array_to_string(list_filter(string_split(source, chr(10)), lambda l: language = 'cfml' OR NOT regexp_matches(l, '^\\s*(async\\s+)?def\\s')), chr(10)), '\\b([a-zA-Z_]\\w*)\\s*\\(', 1), lambda n: length(n) >= 3 AND NOT list_contains(CASE language WHEN 'ruby' THEN {_list(map(sql_text, code.NO_CALLS['ruby']))} WHEN 'python' THEN {_list(map(sql_text, code.NO_CALLS['python']))} ELSE {_list(map(sql_text, code.NO_CALLS['cfml']))} END, CASE WHEN language = 'cfml' THEN lower(n) ELSE n END)))) AS calls FROM functions WHERE language <> 'java'")
+@query(f"WITH {FUNCTIONS} SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(array_to_string(list_filter(string_split(source, chr(10)), lambda l: language = 'cfml' OR NOT regexp_matches(l, '^\\s*(async\\s+)?def\\s')), chr(10)), '\\b([a-zA-Z_]\\w*)\\s*\\(', 1), lambda n: length(n) >= 3 AND NOT list_contains(CASE language WHEN 'ruby' THEN {_list(map(sql_text, code.NO_CALLS['ruby']))} WHEN 'python' THEN {_list(map(sql_text, code.NO_CALLS['python']))} ELSE {_list(map(sql_text, code.NO_CALLS['cfml']))} END, CASE WHEN language = 'cfml' THEN lower(n) ELSE n END)))) AS calls FROM (SELECT doc_id, language, CASE WHEN language = 'java' THEN '' ELSE source END AS source FROM functions)")
 def call_names(spark, sf_dir):
     lang, source = F.col("language"), F.col("source")
     calls = F.when(lang == "ruby", code.called(source, "ruby")).when(lang == "python", code.called(source, "python")).otherwise(code.called(source, "cfml"))
-    return functions(spark, sf_dir).where(lang != "java").select("doc_id", F.array_sort(calls).alias("calls"))
+    # names in Java sources are the grammar's to tell
+    return functions(spark, sf_dir).select("doc_id", F.when(lang == "java", F.array().cast("array<string>")).otherwise(F.array_sort(calls)).alias("calls"))
 
 
 @query(f"WITH {FUNCTIONS} SELECT doc_id, CASE doc_id % {len(SOURCES)} WHEN 8 THEN replace(source, '<!--- a' || chr(10) || 'b --->', chr(10)) WHEN 0 THEN replace(source, '/* twice */', '') ELSE source END AS source FROM functions")
@@ -101,10 +102,10 @@ def strip_comments(spark, sf_dir):
     return functions(spark, sf_dir).select("doc_id", code.without_comments(F.col("source")).alias("source"))
 
 
-@query(f"WITH {FUNCTIONS} SELECT doc_id, 'get' || (doc_id % 50) AS name, 'public' AS access, 'admin' AS roles FROM functions WHERE doc_id % {len(SOURCES)} = 8")
+@query(f"WITH {FUNCTIONS} SELECT doc_id, CASE doc_id % {len(SOURCES)} WHEN 8 THEN 'get' || (doc_id % 50) WHEN 9 THEN 'flag' END AS name, CASE doc_id % {len(SOURCES)} WHEN 8 THEN 'public' END AS access, CASE doc_id % {len(SOURCES)} WHEN 8 THEN 'admin' END AS roles FROM functions")
 def tag_values(spark, sf_dir):
     tag = code.tag_attributes(F.regexp_extract("source", "(?i)<cffunction([^>]*)>", 1))
-    return functions(spark, sf_dir).where(f"doc_id % {len(SOURCES)} = 8").select("doc_id", tag["name"].alias("name"), tag["access"].alias("access"), tag["roles"].alias("roles"))
+    return functions(spark, sf_dir).select("doc_id", tag["name"].alias("name"), tag["access"].alias("access"), tag["roles"].alias("roles"))
 
 
 @query(f"WITH {FUNCTIONS} SELECT doc_id, CASE WHEN instr(source, 'return') > 0 THEN 1 + length(substr(source, 1, instr(source, 'return') - 1)) - length(replace(substr(source, 1, instr(source, 'return') - 1), chr(10), '')) END::BIGINT AS line FROM functions")
@@ -222,13 +223,13 @@ def backend_choice(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", settings.backend(k == 0, override, chosen, k == 5, F.lit(True), k == 4).alias("b")).select("n_nationkey", "b.*")
 
 
-_DASHED = "'# Head — ' || doc_id || chr(10) || 'a — b—c— d `x — y` e' || chr(10) || '`open — ' || left(coalesce(text, ''), 40)"
+_DASHED = "'# Head — ' || doc_id || chr(10) || 'a — b—c— d `x — y` e' || chr(10) || '`open — ' || coalesce(text, '')"
 
 
-@query("SELECT doc_id, '# Head: ' || doc_id || chr(10) || 'a, b, c, d `x — y` e' || chr(10) || '`open, ' || regexp_replace(left(coalesce(text, ''), 40), '`', '', 'g') AS text FROM documents")
+@query("SELECT doc_id, '# Head: ' || doc_id || chr(10) || 'a, b, c, d `x — y` e' || chr(10) || '`open, ' || replace(coalesce(text, ''), '`', '') AS text FROM documents")
 def dash_scrub(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    text = F.concat(F.lit("# Head — "), "doc_id", F.lit("\na — b—c— d `x — y` e\n`open — "), F.replace(F.substring(F.coalesce("text", F.lit("")), 1, 40), F.lit("`"), F.lit("")))
+    text = F.concat(F.lit("# Head — "), "doc_id", F.lit("\na — b—c— d `x — y` e\n`open — "), F.replace(F.coalesce("text", F.lit("")), F.lit("`"), F.lit("")))
     return d.select("doc_id", settings.without_dashes(text).alias("text"))
 
 
@@ -256,8 +257,8 @@ def git_history(spark, sf_dir):
     return settings.git_log(table(spark, sf_dir, "nation").select(line.alias("line")))
 
 
-@query("SELECT '/w/' || (n_nationkey // 3) AS path, CASE WHEN (n_nationkey // 3) % 2 = 0 THEN 'b' || (n_nationkey // 3) END AS branch, (n_nationkey // 3) % 2 = 1 AS detached FROM nation WHERE n_nationkey % 3 = 2 AND n_nationkey < 24")
+@query("SELECT '/w/' || g AS path, CASE WHEN g % 2 = 0 AND n = 3 THEN 'b' || g END AS branch, g % 2 = 1 AND n = 3 AS detached FROM (SELECT n_nationkey // 3 AS g, count(*) AS n FROM nation GROUP BY 1)")
 def git_trees(spark, sf_dir):
     i, g = F.col("n_nationkey"), F.expr("n_nationkey div 3")
     line = F.when(i % 3 == 0, F.concat(F.lit("worktree /w/"), g)).when(i % 3 == 1, "HEAD 0").when(g % 2 == 0, F.concat(F.lit("branch refs/heads/b"), g)).otherwise("detached")
-    return settings.git_worktrees(table(spark, sf_dir, "nation").where("n_nationkey < 24").select(i.alias("n"), line.alias("line")))
+    return settings.git_worktrees(table(spark, sf_dir, "nation").select(i.alias("n"), line.alias("line")))
