@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from ..functions import settings, signing
+from ..functions import frontmatter, settings, signing
 from ..functions import text as T
 from ..operators import audit, candidates, drafts, matching, pages, prompts, publish, reports
 from ..sources import scratch, wiki
@@ -415,3 +415,13 @@ def preflight_gate(spark, sf_dir):
 @query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'mend' ELSE text END AS prompt FROM conversations")
 def retry_prompts(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", prompts.retry_prompt(F.col("text"), F.when(F.col("turn") % 2 == 0, "mend")).alias("prompt"))
+
+
+@query("SELECT doc_id, 'k-' || doc_id AS key, strftime(make_timestamp(2024, 1, 2, 3, 4, 5) + to_hours(-2) + to_days((doc_id % 300)::INT), '%Y-%m-%dT%H:%M:%S.000Z') AS made, [coalesce(source, 'none'), 'a: b', 'no'] AS tags, doc_id % 7 AS n, md5(regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '\\n+$', '')) AS note FROM documents")
+def frontmatter_values(spark, sf_dir):
+    """Whole texts as blocks of frontmatter, with a time, a list and a nested map beside them."""
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    day = F.date_format(F.date_add(F.lit("2024-01-02").cast("date"), (i % 300).cast("int")), "yyyy-MM-dd")
+    page = F.concat(F.lit("---\nkey: k-"), i, F.lit("\nmade: "), day, F.lit(" 03:04:05 +02:00\ntags:\n- "), F.coalesce("source", F.lit("none")), F.lit("\n- 'a: b'\n- \"no\"\nin: # nested\n    deep: {n: "), i % 7, F.lit(", x: [1, 2]}\nnote: |2-\n  "), F.replace(text, F.lit("\n"), F.lit("\n  ")), F.lit("\nlast: 1\n---\nbody\n"))
+    found = table(spark, sf_dir, "documents").select(i, F.from_json(frontmatter.frontmatter_json(page), "key string, made string, tags array<string>, in struct<deep: struct<n: long>>, note string").alias("f"))
+    return found.select(i, "f.key", "f.made", "f.tags", F.col("f.in.deep.n").alias("n"), F.md5(F.col("f.note").cast("binary")).alias("note"))
