@@ -277,7 +277,7 @@ def script_scopes(text: Column) -> Column:
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         made = pa.list_(pa.struct([(n, pa.int32() if n.startswith("line") else pa.string()) for n in ("name", "lead", "parameters", "between", "line_start", "line_end", "source")]))
         for batch in texts:
-            yield pa.array([script_functions(x or "") for x in batch.to_pylist()], made)
+            yield pa.array([_safely(script_functions, x)[0] for x in batch.to_pylist()], made)
 
     return run(text)
 
@@ -398,11 +398,31 @@ def scopes(text: Column) -> Column:
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         made = pa.list_(pa.struct([(k, kinds[v]) for k, v in _JAVA_FIELDS.items()]))
         for batch in texts:
-            yield pa.array([java_methods(x or "") for x in batch.to_pylist()], made)
+            yield pa.array([_safely(java_methods, x)[0] for x in batch.to_pylist()], made)
 
     return run(text)
 
 
+def _safely(scan, text: str | None) -> tuple[list, str | None]:
+    """(what ``scan`` finds in a text, None), or nothing and what went wrong: one file does not end the job."""
+    try:
+        return scan(text or ""), None
+    except Exception as e:
+        return [], f"{type(e).__name__}: {e}"[:500]
+
+
+def unread(files: DataFrame) -> DataFrame:
+    """(relative_path, error) of the files that the scans of Java and of component scripts could not read; ``parse`` leaves these out."""
+    scans = {"java": java_methods, "cfml": script_functions}
+
+    @F.arrow_udf("string")
+    def run(kinds, texts):
+        return pa.array([_safely(scans[k], x)[1] for k, x in zip(kinds.to_pylist(), texts.to_pylist(), strict=True)], pa.string())
+
+    own = files.withColumn("__kind", language_of(F.col("relative_path"))).where(F.col("__kind").isin(*scans))
+    return own.select("relative_path", run(F.col("__kind"), F.col("content")).alias("error")).where("error is not null")
+
+
 # Annotations by what they make of a class or method, methods of servlets with their verb, packages that hold business code.
 SPRING, CONTROLLERS, JAXRS = tuple("GetMapping PostMapping PutMapping DeleteMapping PatchMapping RequestMapping".split()), ("Controller", "RestController", "Path"), tuple("GET POST PUT DELETE PATCH HEAD OPTIONS".split())
 SERVICES = tuple("Service Component Repository Stateless Stateful Singleton MessageDriven Named ApplicationScoped RequestScoped SessionScoped Dependent".split())

@@ -66,17 +66,21 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def write_pages(pages: DataFrame, path: str) -> None:
     """A file ``<slug>.md`` for each page (slug, page, seq): of pages of one slug the last one stays. Tasks write their own files.
 
-    ``path`` is a folder that all tasks can write to.
+    ``path`` is a folder that all tasks can write to. A file gets its name when it is
+    whole, so a task that is tried again, or twice at once, leaves no torn one.
     """
     last = pages.groupBy("slug").agg(F.max_by("page", "seq").alias("page"))
 
     def put(rows) -> None:
+        import uuid
         from pathlib import Path
 
         folder = Path(path)
         folder.mkdir(parents=True, exist_ok=True)
         for r in rows:
-            (folder / f"{r['slug']}.md").write_text(r["page"] or "", encoding="utf-8")
+            part = folder / f".{uuid.uuid4().hex}.part"
+            part.write_text(r["page"] or "", encoding="utf-8")
+            part.replace(folder / f"{r['slug']}.md")
 
     last.foreachPartition(put)
 

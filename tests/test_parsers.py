@@ -238,3 +238,18 @@ def test_order(spark):
     df = spark.createDataFrame([("b", 1), ("a", 9), ("B", 3), ("a", 2)], "relative_path string, line_start int")
     assert [tuple(r) for r in parsers.in_order(df).collect()] == [("B", 3), ("a", 2), ("a", 9), ("b", 1)]
     assert parsers.parse(spark.createDataFrame([], "relative_path string, content string")).where(F.lit(True)).count() == 0
+
+
+def test_a_file_that_raises_is_left_out_and_told(spark, monkeypatch):
+    files = spark.createDataFrame([("a/Good.java", "@RestController class Good {\n  @GetMapping(\"/x\") String go() { int a = 1; return \"\" + a; }\n}"), ("a/Bad.java", "boom"), ("b/x.rb", "x")], "relative_path string, content string")
+    plain = parsers.java_methods
+
+    def scan(text):
+        if text == "boom":
+            raise RecursionError("too deep")
+        return plain(text)
+
+    monkeypatch.setattr(parsers, "java_methods", scan)
+    assert parsers._safely(scan, "boom") == ([], "RecursionError: too deep") and parsers._safely(scan, None) == ([], None)
+    monkeypatch.undo()
+    assert parsers.unread(files).count() == 0 and [r["name"] for r in parsers.parse(files).select("name").collect()] == ["Good.go"]
