@@ -29,8 +29,9 @@ from pyspark.sql import types as T
 
 from .common import slices
 
-#: Bytes, with what the interpreter adds, of the fragments that a worker remembers; beyond, it forgets all and goes on.
-CACHE_BYTES, ENTRY_BYTES = 48 << 20, 220
+#: Bytes, with what the interpreter adds, of the fragments that a worker remembers, in two halves: a full half becomes the old
+#: one, and what is asked for again moves on from there, so that only what has not been seen for long is forgotten.
+CACHE_BYTES, ENTRY_BYTES = 144 << 20, 220
 # Probes of a pre-tokeniser: where it cuts each of these as the short cut does, the short cut is taken.
 PROBES = ("abc", "a1b22", "ab.cd,(ef)!", "x-1", "2024/05", "a_b", "...", "7")
 
@@ -77,6 +78,8 @@ class ForcedBoundaryEncoder:
         self.plain = all(self._cut(x) == self.ascii_words.findall(x) for x in PROBES) and self._cut("AbC") == ["abc"]
         self.words: dict[str, bytes] = {}
         self.ids: dict[bytes, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_ids: dict[bytes, bytes] = {}
         self.held = 0
 
     def _cut(self, text: str) -> list[str]:
@@ -97,8 +100,10 @@ class ForcedBoundaryEncoder:
     def _word(self, word: str) -> bytes:
         got = self.words.get(word)
         if got is None:
-            pieces = self.pieces(word)
-            got = self._bytes([t.id for piece in pieces[:-1] for t in self.inner.tokenize(piece)] + [t.id for t in self.last.tokenize(pieces[-1])])
+            got = self.old_words.get(word)
+            if got is None:
+                pieces = self.pieces(word)
+                got = self._bytes([t.id for piece in pieces[:-1] for t in self.inner.tokenize(piece)] + [t.id for t in self.last.tokenize(pieces[-1])])
             self.words[word] = got
             self.held += len(word) + len(got) + ENTRY_BYTES
         return got
@@ -120,13 +125,14 @@ class ForcedBoundaryEncoder:
         """For each text the ids as little-endian unsigned 32-bit integers."""
         out = []
         for text in texts:
-            if self.held > CACHE_BYTES:
-                self.ids.clear()
-                self.words.clear()
-                self.held = 0
+            if self.held > CACHE_BYTES // 2:
+                self.old_ids, self.old_words, self.ids, self.words, self.held = self.ids, self.words, {}, {}, 0
             fragments = text.encode("utf-8").split()
             for x in set(fragments).difference(self.ids):
-                got = self.ids[x] = self._fragment(x)
+                got = self.old_ids.get(x)
+                if got is None:
+                    got = self._fragment(x)
+                self.ids[x] = got
                 self.held += len(x) + len(got) + ENTRY_BYTES
             out.append(b"".join(map(self.ids.__getitem__, fragments)))
         return out
