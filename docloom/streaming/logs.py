@@ -61,8 +61,9 @@ def appended(entries: DataFrame, fields: list[str], by: str = "log", order: str
     """A stream of entries, chained: (log, seq, body, prev_hash, entry_hash), each position of a log once.
 
     ``entries`` is a stream with the columns ``fields`` whose rows have a place ``order``
-    in their log ``by`` (both longs). An entry at a place not beyond its log's last one is
-    there already and adds nothing, so a batch that comes again changes nothing. The
+    in their log ``by`` (both longs). Batches come in the order of these places: an entry
+    at a place not beyond its log's last one counts as there already and adds nothing, so
+    a batch that comes again changes nothing. The
     state of a log is one row, kept in the checkpoint; of the new entries of one log a
     task holds those of a micro-batch, which the source's rate bounds.
     """
