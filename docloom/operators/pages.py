@@ -168,6 +168,7 @@ def safe_markup(text: Column) -> Column:
     return F.when(F.rlike(rest, F.lit("[<>]")), escape_markup(text, apostrophe=True)).otherwise(text)
 
 
+# Tags that have no end.
 VOID = tuple("area base br col embed hr img input link meta source track wbr".split())
 
 
