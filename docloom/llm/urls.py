@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 #: (verdict, host and path) of the given rules.
-GIVEN_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+GIVEN_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.8
 #: Rows that a rule rests on at least, however few there are: fewer can't show more than chance.
 FEWEST = 4
