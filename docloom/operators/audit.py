@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsontext, signing
 from ..functions.jsontext import canonical_json  # noqa: F401  part of this module's interface
+from ..sources.scratch import new_folder
 
 
 def since_commit(log: DataFrame, commit: str) -> DataFrame:
@@ -106,6 +107,9 @@ def lines(entries: DataFrame, fields: list[str]) -> Column:
     return F.to_json(F.struct(*sorted([*fields, "prev_hash", "entry_hash"])), {"ignoreNullFields": "false"})
 
 
+#: Keys of a registry (some 250 bytes each) that may be broadcast.
+BROADCAST_KEYS = 40_000
+
 #: What verifying needs of an entry.
 CLAIMS = ("entry_hash", "prev_hash", "signature", "signing_key_id")
 
@@ -147,21 +151,26 @@ def verify(log: DataFrame, by: str = "log", raw: str = "raw", keys: DataFrame |
     its key of ``keys`` (signing_key_id, public_key_pem); one that fails, and one whose
     key isn't there, is an error, and the entry isn't signed.
     Windows hold a range of a log; the last hash of the ranges before comes from one row
-    for each range.
+    for each range. What the lines say is written to the shared folder, as ranges and
+    windows both read it: making and reading the lines is done once.
     """
-    got = parsed_lines(log.select(by, "seq", raw), raw).withColumn("range", F.floor(F.col("seq") / width))
+    tampered = ~F.col("recomputed").eqNullSafe(F.col("entry_hash"))
+    folder = new_folder(log.sparkSession, "verified")
+    parsed_lines(log.select(by, "seq", raw), raw).select(by, "seq", "is_json", *CLAIMS, tampered.alias("tampered")).write.parquet(folder)
+    got = log.sparkSession.read.parquet(folder).withColumn("range", F.floor(F.col("seq") / width))
     # a claimed hash may be null: the struct says that there was an entry
     claim = F.when(F.col("is_json"), F.struct("entry_hash"))
-    ends = got.where("is_json").groupBy(by, "range").agg(F.max_by(F.struct("entry_hash"), "seq").alias("end"))
-    every = got.select(by, "range").distinct().join(ends, [by, "range"], "left")
-    carry = every.select(by, "range", F.last("end", ignorenulls=True).over(Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
+    ends = got.groupBy(by, "range").agg(F.max_by(claim, F.when(F.col("is_json"), F.col("seq"))).alias("end"))
+    carry = ends.select(by, "range", F.last("end", ignorenulls=True).over(Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
     within = Window.partitionBy(by, "range").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     got = got.withColumn("last", F.last(claim, ignorenulls=True).over(within)).join(carry, [by, "range"])
-    tampered = ~F.col("recomputed").eqNullSafe(F.col("entry_hash"))
+    tampered = F.col("tampered")
     claims_one = F.coalesce(F.col("signature") != "", F.lit(False))
     if keys is not None:
         one = keys.groupBy("signing_key_id").agg(F.min(F.struct(F.col("public_key_pem"))).alias("key"))
-        got = got.join(one, "signing_key_id", "left")
+        # few keys would gather all their entries in as few tasks
+        few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        got = got.join(F.broadcast(one) if few else one, "signing_key_id", "left")
     else:
         got = got.withColumn("key", F.lit(None).cast("struct<public_key_pem:string>"))
     known = F.col("key").isNotNull()

@@ -105,3 +105,14 @@ def test_log_of_several_files(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == [f'{{"n":{i}}}' for i in range(-2, 50001)]
+
+
+def test_lines_are_read_once_and_checked_by_all_tasks(spark):
+    log = audit.chain(spark.range(50).select((F.col("id") % 3).alias("log"), F.col("id").alias("seq"), F.lit("fingerprint:a").alias("signing_key_id")))
+    raw = log.select("log", "seq", audit.lines(log, ["signing_key_id"]).alias("raw"))
+    keys = audit.registry_rows(spark, [signing.public_of(bytes(32))], "t")
+    found = audit.verify(raw, keys=keys, width=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # only the signatures are left for Python, and no exchange gathers the entries of a key
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan and "BroadcastHashJoin [signing_key_id" in plan
+    assert all(r.valid and not r.reasons for r in found.collect()) and found.count() == 50
