@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import publish
 from .scratch import new_folder
-from .wiki import connected
+from .wiki import connected, tasks
 from .wiki_client import Wiki, WikiError
 
 PLAN = "page_id string, key string, space string, owner string, title string, version long, body string, failure string"
@@ -86,12 +86,15 @@ def claim(asked: DataFrame, banner: str, placement: str = "below", label: str =
 
     Rows (page_id, key, operation, outcome, content_hash, state, message): the operation is
     ``claim``, or ``claim_aborted`` where a page is left in between; the hash is that of the
-    text before. The journal is two tables in the shared folder: what was planned and
-    what was done. The options are those of the wiki source. An empty list gives no rows.
+    text before. The journal is three tables in the shared folder: what was read, what was
+    planned and what was done. The options are those of the wiki source. An empty list gives no rows.
     """
     spark = asked.sparkSession
     journal = new_folder(spark, "claims")
-    plan = planned(read_pages(asked.where("page_id is not null and key is not null").distinct(), options), options.get("space", "MAIN"), banner, placement)
+    asked = asked.where("page_id is not null and key is not null").select("page_id", "key")
+    # the plan looks at the pages three times, which are read once
+    read_pages(asked.repartition(tasks(spark), "page_id", "key").distinct(), options).write.parquet(f"{journal}/read")
+    plan = planned(spark.read.parquet(f"{journal}/read"), options.get("space", "MAIN"), banner, placement)
     plan.write.parquet(f"{journal}/planned")
     plan = spark.read.parquet(f"{journal}/planned")
 
@@ -106,7 +109,7 @@ def claim(asked: DataFrame, banner: str, placement: str = "below", label: str =
                 rows.append({"page_id": row["page_id"], "key": row["key"], "state": state, "message": message})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([(c.split()[0], pa.string()) for c in DONE.split(", ")]))
 
-    plan.where("error is null").select("page_id", "key", "body", "new_body").mapInArrow(run, DONE).write.parquet(f"{journal}/done")
+    plan.where("error is null").select("page_id", "key", "body", "new_body").repartition(tasks(spark), "page_id").mapInArrow(run, DONE).write.parquet(f"{journal}/done")
     done = spark.read.schema(DONE).parquet(f"{journal}/done")
     every = plan.select("page_id", "key", "error", "failure", "body_hash").join(done, ["page_id", "key"], "left")
     state = F.coalesce("state", F.lit("rejected"))

@@ -91,3 +91,19 @@ def test_failed_restore_is_told_and_mended(tmp_path):
     assert claims.take_over(link, row, "docloom") == ("claimed", None) and link.version(row["page_id"]).key == "k0" and link.version(row["page_id"]).version == 2
     link.update(row["page_id"], 2, "t", "edited by hand")
     assert claims.take_over(link, row, "docloom") == ("failed", "the page was changed meanwhile")
+
+
+def test_pages_are_read_once(spark, tmp_path, monkeypatch):
+    ids, seen, read = people(tmp_path, 9), spark.sparkContext.accumulator(0), claims.read_pages
+
+    def counted(asked, options):
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return read(asked, options).mapInArrow(run, claims.PLAN)
+
+    monkeypatch.setattr(claims, "read_pages", counted)
+    got = claims.claim(spark.createDataFrame([(p, f"k{i}") for i, p in enumerate(ids.values())], "page_id string, key string"), BANNER, **options(tmp_path))
+    assert {r.state for r in got.collect()} == {"claimed"} and seen.value == 9
