@@ -33,8 +33,8 @@ OBJECTS = "repo string, sha string, type string, size long, content binary"
 TYPES = {1: "commit", 2: "tree", 3: "blob", 4: "tag"}
 BY_OFFSET, BY_NAME = 6, 7
 
-#: Objects in a range of a pack; bytes of content in a batch.
-RANGE, BATCH_BYTES = 20_000, 8 << 20
+#: Objects in a range of a pack; bytes of content in a batch; entries of trees in a batch.
+RANGE, BATCH_BYTES, ENTRIES = 20_000, 8 << 20, 10_000
 
 
 def git_folder(root: str) -> Path:
@@ -271,23 +271,31 @@ def commits(found: DataFrame) -> DataFrame:
     ).dropDuplicates(["repo", "sha"])
 
 
-def tree_entries(found: DataFrame) -> DataFrame:
-    """(repo, tree, mode, name, sha): a row for each entry of the trees among objects."""
+def entry_batches(batches):
+    """The entries of trees (repo, tree, content): one tree is in hand, and a bounded number of entries."""
+    import pyarrow as pa
 
-    def run(batches):
-        import pyarrow as pa
+    def whole(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in range(5)], names=["repo", "tree", "mode", "name", "sha"])
+
+    for batch in batches:
+        rows = []
+        for row in zip(*batch.columns, strict=True):
+            repo, tree, content = (x.as_py() for x in row)
+            at = 0
+            while at < len(content):
+                blank, end = content.index(b" ", at), content.index(b"\0", at)
+                rows.append((repo, tree, content[at:blank].decode().zfill(6), content[blank + 1 : end].decode("utf-8", "replace"), content[end + 1 : end + 21].hex()))
+                at = end + 21
+                if len(rows) == ENTRIES:
+                    yield whole(rows)
+                    rows = []
+        yield whole(rows)
 
-        for batch in batches:
-            rows = []
-            for repo, tree, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = 0
-                while at < len(content):
-                    blank, end = content.index(b" ", at), content.index(b"\0", at)
-                    rows.append((repo, tree, content[at:blank].decode().zfill(6), content[blank + 1 : end].decode("utf-8", "replace"), content[end + 1 : end + 21].hex()))
-                    at = end + 21
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in range(5)], names=["repo", "tree", "mode", "name", "sha"])
 
-    return found.where("type = 'tree'").select("repo", "sha", "content").dropDuplicates(["repo", "sha"]).mapInArrow(run, "repo string, tree string, mode string, name string, sha string")
+def tree_entries(found: DataFrame) -> DataFrame:
+    """(repo, tree, mode, name, sha): a row for each entry of the trees among objects."""
+    return found.where("type = 'tree'").select("repo", "sha", "content").dropDuplicates(["repo", "sha"]).mapInArrow(entry_batches, "repo string, tree string, mode string, name string, sha string")
 
 
 def refs(spark: SparkSession, *repos: str) -> DataFrame:
@@ -516,7 +524,7 @@ def write_loose(rows: DataFrame, root: str) -> DataFrame:
 
         for batch in batches:
             names = []
-            for kind, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for kind, content in ((k.as_py(), c.as_py()) for k, c in zip(batch.column(0), batch.column(1), strict=True)):
                 whole = b"%s %d\0" % (kind.encode(), len(content)) + content
                 name = hashlib.sha1(whole).hexdigest()
                 at = Path(store) / name[:2] / name[2:]

@@ -124,3 +124,13 @@ def test_uncommitted(spark, repo):
         assert {r.path for r in git.uncommitted(spark, str(repo)).collect()} == want == {"a.txt", "new staged", "src/deep/x"}
     finally:
         run(repo, "reset", "-q", "--hard")
+
+
+def test_entries_of_large_trees_come_in_bounded_batches():
+    import pyarrow as pa
+
+    names = [f"f{i:06}" for i in range(25_000)]
+    tree = b"".join(b"100644 " + n.encode() + b"\0" + bytes(20) for n in names)
+    batch = pa.RecordBatch.from_arrays([pa.array(["r"] * 3), pa.array(["a", "b", "c"]), pa.array([tree, b"", tree])], names=["repo", "sha", "content"])
+    got = list(git.entry_batches([batch]))
+    assert max(b.num_rows for b in got) <= git.ENTRIES and [(t, n) for b in got for t, n in zip(b["tree"].to_pylist(), b["name"].to_pylist(), strict=True)] == [(t, n) for t in "ac" for n in names]
