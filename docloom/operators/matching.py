@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import kebab_name
+from ..sources.scratch import new_folder, shared_folder
 
 #: Letters in a group of the index; shorter needles are groups of their own length.
 GROUP = 3
+#: Groups of needles (some 100 bytes each) that may be broadcast.
+BROADCAST_GROUPS = 100_000
 
 
 def groups(text: Column, size: int) -> Column:
@@ -22,36 +25,47 @@ def holding(needles: DataFrame, stacks: DataFrame, needle: str = "needle", stack
 
     A needle is looked up by that of its groups which the fewest texts hold, so a pair is
     formed only of texts that share a needle's rarest group; then it is verified. The
-    index has groups of fewer letters only for needles that are no longer.
+    index has the needles' groups alone, and is not shuffled where these are few.
     """
     ask = needles.where(F.length(needle) > 0).select(F.col(needle).alias("needle")).distinct()
     texts = stacks.where(F.col(stack).isNotNull()).select(F.col(stack).alias("stack")).distinct()
-    sizes = ask.select(F.least(F.length("needle"), F.lit(GROUP)).alias("size")).distinct()
-    sized = lambda n: F.transform(groups(F.col("stack"), n), lambda g: F.struct(F.lit(n).alias("size"), g.alias("group")))
-    every = F.flatten(F.array(*(sized(n) for n in range(1, GROUP + 1))))
-    index = texts.select("stack", F.inline(every)).join(F.broadcast(sizes), "size").drop("size")  # at most GROUP rows
-    found = index.groupBy("group").agg(F.count("*").alias("texts"))
+    sizes = [r["size"] for r in ask.select(F.least(F.length("needle"), F.lit(GROUP)).alias("size")).distinct().collect()]  # at most GROUP rows
     own = F.when(F.length("needle") < GROUP, F.array("needle")).otherwise(groups(F.col("needle"), GROUP))
+    asked = ask.select("needle", F.explode(own).alias("group"))
+    few = asked.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    small = F.broadcast if few else lambda df: df
+    every = F.flatten(F.array(*(groups(F.col("stack"), n) for n in sorted(sizes)))) if sizes else F.array().cast("array<string>")
+    index = texts.select("stack", F.explode(every).alias("group"))
+    found = index.join(small(asked.select("group").distinct()), "group", "left_semi").groupBy("group").agg(F.count("*").alias("texts"))
     # a group that no text holds leaves its needle without a pair
-    rated = ask.select("needle", F.explode(own).alias("group")).join(found, "group", "left")
+    rated = asked.join(found, "group", "left")
     probe = rated.groupBy("needle").agg(F.min_by("group", F.struct(F.coalesce("texts", F.lit(0)), "group")).alias("group"))
-    return probe.join(index, "group").where(F.contains("stack", F.col("needle"))).select("needle", "stack")
+    return index.join(small(probe), "group").where(F.contains("stack", F.col("needle"))).select("needle", "stack")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
 
 
 def slug_pairs(names: DataFrame, slugs: DataFrame) -> DataFrame:
     """(name, slug): the distinct pairs of ``names`` (name) and ``slugs`` (slug) that ``slug_matches`` accepts, without a nested loop.
 
     A slug holds the kebab name, or the kebab name holds the slug's first part; a slug
-    that begins with a dash has an empty first part, which every name holds.
+    that begins with a dash has an empty first part, which every name holds. Names and
+    slugs are written to the shared folder, as each is read several times. The three kinds
+    of pairs exclude one another, so that pairs are not compared again.
     """
-    kebabs = names.select("name", kebab_name(F.col("name")).alias("kebab")).where("kebab <> ''").distinct()
-    parts = slugs.where("slug is not null").select("slug", F.split("slug", "-")[0].alias("part")).distinct()
+    kebabs = _written(names.select("name").distinct().select("name", kebab_name(F.col("name")).alias("kebab")).where("kebab <> ''"), "kebabs")
+    parts = _written(slugs.where("slug is not null").select("slug").distinct().select("slug", F.split("slug", "-")[0].alias("part")), "parts")
     by_slug = holding(kebabs, parts, "kebab", "slug").toDF("kebab", "slug").join(kebabs, "kebab")
     by_name = holding(parts.where("part <> ''"), kebabs, "part", "kebab").toDF("part", "kebab").join(kebabs, "kebab").join(parts, "part")
     # a slug without a first part (a title never gives one) goes with every name: an equality that all rows fulfil deals these out by no key
     every = lambda c: F.least(F.length(c), F.lit(0)).alias("every")
-    bare = parts.where("part = ''").select("slug", every("part")).join(kebabs.select("name", every("kebab")), "every")
-    return by_slug.select("name", "slug").union(by_name.select("name", "slug")).union(bare.select("name", "slug")).distinct()
+    bare = parts.where("part = ''").select("slug", every("part")).join(kebabs.select("name", "kebab", every("kebab")), "every")
+    by_name, bare = (df.where(~F.contains("slug", F.col("kebab"))) for df in (by_name, bare))
+    return by_slug.select("name", "slug").union(by_name.select("name", "slug")).union(bare.select("name", "slug"))
 
 
 def ranked_titles(pages: DataFrame, folder: Column, collation: str = "UNICODE") -> DataFrame:
@@ -61,8 +75,6 @@ def ranked_titles(pages: DataFrame, folder: Column, collation: str = "UNICODE")
     after those before it, which one row for each range and folder counts: no folder is
     gathered, however many pages it has. The sorted rows are written to the checkpoint folder.
     """
-    from ..sources.scratch import shared_folder
-
     spark = pages.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))

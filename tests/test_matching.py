@@ -31,6 +31,14 @@ def test_slug_pairs(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_slugs_are_made_once(spark):
+    words = [f"Item {i % 50} and more" for i in range(300)]
+    slugs = spark.createDataFrame([(w,) for w in words], "t string").select(F.regexp_replace(F.lower("t"), "[^a-z0-9]+", "-").alias("slug"))
+    pairs = matching.slug_pairs(spark.createDataFrame([("x.item",), ("More",)], "name string"), slugs)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan and "RDDScan" not in plan and pairs.count() == 100
+
+
 def test_ranks_follow_the_collation(spark):
     rows = [("f", t) for t in ("b", "B", "a", "Ä", "z", "A", "ä", "-a", "a b", "ab", "a")] + [("g", None), ("g", "x")] + [("hot", f"T{i % 700}") for i in range(3000)] + [(None, "n")]
     df = spark.createDataFrame(rows, "folder string, title string")
