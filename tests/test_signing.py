@@ -3,12 +3,14 @@
 import hashlib
 import json
 import os
+import random
 import stat
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.functions import jsontext, signing
+from docloom.functions import fields, jsontext, signing
 from docloom.operators import audit
 from docloom.sources import files
 
@@ -31,6 +33,50 @@ def test_vectors(seed, public, message, signature):
     assert signing.verified(bytes(31), [(message, signature)]) == [False] and signing.verified(b"\xff" * 32, [(message, signature)]) == [False]
 
 
+def test_many_rows_are_summed_together(monkeypatch):
+    """Rows that share a key are signed and verified without a walk of their own, to the same bytes; odd scalars too."""
+    seed, messages = bytes(range(32)), [f"entry {i}".encode() for i in range(300)]
+    want = [signing.signatures(seed, [m])[0] for m in messages]
+    public, scalars = signing.public_of(seed), [0, 1, 255, 256, signing.ORDER - 1, 2**252, *range(2, 50)]
+    points = signing.encoded([signing.by_table(n, signing.base_table()) for n in scalars])
+    signing.base_sums()
+    monkeypatch.setattr(signing, "by_table", None)
+    monkeypatch.setattr(signing, "public_of", lambda seed: public)
+    assert signing.signatures(seed, messages) == want and signing.base_multiples(scalars) == points
+    pairs = [(m, s if i % 3 else want[i - 1]) for i, (m, s) in enumerate(zip(messages, want, strict=True))]
+    assert signing.verified(public, pairs) == [i % 3 > 0 for i in range(300)]
+
+
+def test_limbs_against_whole_numbers():
+    rng = random.Random(5)
+    values = [0, 1, 18, 19, signing.P - 1, signing.P, signing.P + 18, 2**255 - 1, *(rng.getrandbits(255) for _ in range(100))]
+    x = fields.limbs(values)
+    apart = x - x[:, ::-1]
+    whole = [fields.number(x[:, i]) for i in range(len(values))]
+    assert whole == [v % signing.P for v in values]
+    made = fields.product(3 * x, 2 * apart)
+    assert [fields.number(made[:, i]) for i in range(len(values))] == [6 * a * (a - b) % signing.P for a, b in zip(whole, whole[::-1], strict=True)]
+    ends = np.array([[3 * (fields.MASK + 1)] * fields.LIMBS, [-3 * (fields.MASK + 1)] * fields.LIMBS]).T
+    made = fields.product(ends, ends[:, ::-1])
+    assert [fields.number(made[:, i]) for i in (0, 1)] == [fields.number(ends[:, 0]) * fields.number(ends[:, 1]) % signing.P] * 2 and abs(made).max() < 1.01 * fields.MASK
+    some = [v for v in values if v % signing.P]
+    inverse = fields.inverses(fields.limbs(some))
+    assert all(fields.number(inverse[:, i]) * v % signing.P == 1 for i, v in enumerate(some))
+    for signs in (x, -x):
+        assert [int.from_bytes(b.tobytes(), "little") & (1 << 255) - 1 for b in fields.encoded(signs, signs)] == [fields.number(signs[:, i]) for i in range(len(values))]
+
+
+def test_lines_are_signed_once(spark):
+    """A filter on the lines that signatures are in does not have them made again."""
+    seed = bytes(32)
+    who = signing.key_id(signing.public_of(seed))
+    log = audit.signed(spark.range(20).select(F.col("id").alias("log"), F.col("id").alias("seq"), F.lit(who).alias("signing_key_id")), {who: seed})
+    lines = audit.parsed_lines(log.select("log", "seq", F.to_json(F.struct("signature", "prev_hash", "entry_hash")).alias("raw")))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    # signatures and claims
+    assert plan.count("ArrowEvalPython") == 2 and lines.where("signature is not null").count() == 20
+
+
 def test_keys(tmp_path, spark):
     path = str(tmp_path / "keys" / "log.pem")
     who = signing.save_keypair(path)
